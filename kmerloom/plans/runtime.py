@@ -28,3 +28,17 @@ def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
     seen = Observation()
     out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
     return out, int(seen.get["n"])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of other hosts this package, once per session."""
+    import os
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_kmerloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    folder = tempfile.mkdtemp(prefix="kmerloom-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "kmerloom"), "zip", root, "kmerloom"))
+    sc._kmerloom_shipped = True
