@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
 from kmerloom.functions import text as T
-from kmerloom.operators import bound, convert, extract, masks, overlaps, results, superstrings
+from kmerloom.operators import bound, bounded, convert, extract, masks, overlaps, results, superstrings
 from kmerloom.plans.runtime import cut
 from kmerloom.streaming.superstring import streaming_superstring
 
@@ -611,3 +611,22 @@ def results_missing_anti(spark, sf_dir):
         (23 + 8 * (F.col("o_orderkey") % 4)).cast("int").alias("k"), F.lit("loac").alias("algorithm"),
     ).distinct()
     return results.missing(wanted, _log(spark, sf_dir))
+
+
+# ---- penalty-bounded superstrings ------------------------------------------
+
+
+@register("loac_decode", _TRUTH)
+def loac_decode(spark, sf_dir):
+    return _decoded_pieces(bounded.bounded(dna(spark, sf_dir, "documents"), KG), KG, True)
+
+
+@register("csac_single_strand_decode", _TRUTH_C)
+def csac_single_strand_decode(spark, sf_dir):
+    return _decoded_pieces(bounded.bounded(dna(spark, sf_dir, "conversations"), KG, False, variant="csac"), KG, False)
+
+
+@register("loac_stats")
+def loac_stats(spark, sf_dir):
+    p = bounded.bounded(dna(spark, sf_dir, "conversations"), KG)
+    return superstrings.stats(superstrings.to_chunks(p, KG), KG)

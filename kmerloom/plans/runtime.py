@@ -3,24 +3,36 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; a private one only where none is named."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a private one only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kmerloom-"))
+    if named:
+        return named
+    context = spark.sparkContext
+    chosen = context._jsc.sc().getCheckpointDir()
+    if chosen.isEmpty():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="kmerloom-"))
+        chosen = context._jsc.sc().getCheckpointDir()
+    return chosen.get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise reliably and drop the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from the written table.
+
+    A table rather than ``checkpoint()``: its file sizes tell the planner when a side is small
+    enough to broadcast, and it does not carry over the constraints of the plan behind it,
+    which pile up in iterative jobs until the optimizer stalls.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_folder(spark).rstrip('/')}/kmerloom-tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
