@@ -584,11 +584,11 @@ def results_parse(spark, sf_dir):
 
 @register("results_relative", f"""WITH g AS (SELECT *, {_OBJ} AS objective FROM ({_LOG})),
 b AS (SELECT path, k, complements, min(objective) AS base_objective, min(xz) AS base_xz FROM g WHERE algorithm = 'global' GROUP BY 1, 2, 3)
-SELECT 'run-' || l_orderkey || '-' || l_linenumber AS ts, objective, base_objective, round(objective / base_objective, 6) AS relative_objective,
-round(xz / base_xz, 6) AS relative_xz FROM g LEFT JOIN b USING (path, k, complements)""")
+SELECT 'run-' || l_orderkey || '-' || l_linenumber AS ts, objective, base_objective, objective / base_objective AS relative_objective,
+xz / base_xz AS relative_xz FROM g LEFT JOIN b USING (path, k, complements)""")
 def results_relative(spark, sf_dir):
     r = results.relative(_log(spark, sf_dir))
-    return r.select("ts", "objective", "base_objective", F.round("relative_objective", 6).alias("relative_objective"), F.round("relative_xz", 6).alias("relative_xz"))
+    return r.select("ts", "objective", "base_objective", "relative_objective", "relative_xz")
 
 
 @register("results_best_penalty", f"""WITH g AS (SELECT *, {_OBJ} AS objective FROM ({_LOG}) WHERE run_penalty IS NOT NULL)
