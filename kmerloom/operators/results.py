@@ -14,21 +14,24 @@ def parse_log(lines: DataFrame) -> DataFrame:
     """Lines ``ts <tab> arguments <tab> := measures`` to typed rows.  Missing trailing
     measures count as 1 and fractions are cut, except for the run time."""
     v = F.col("value")
-    args = F.regexp_extract(v, r"^[^\t]*\t(.*?)\s*:=", 1)
-    nums = F.split(F.trim(F.regexp_extract(v, r":=\s*(.*)$", 1)), r"\s+")
+    head, tail = F.split_part(v, F.lit(":="), F.lit(1)), F.split_part(v, F.lit(":="), F.lit(2))
+    args = F.trim(F.substring(head, F.instr(head, "\t") + 1, F.length(head)), F.lit(" \t"))
+    t = lines.where(v.contains(":=")).select(
+        F.split_part(v, F.lit("\t"), F.lit(1)).alias("ts"),
+        F.str_to_map(args, F.lit("\\s+(?=-)"), F.lit("\\s+")).alias("args"),
+        F.split(F.trim(tail, F.lit(" \t")), "\\s+").alias("nums"),
+    )
 
-    def option(pattern):
-        found = F.regexp_extract("args", pattern, 1)
-        return F.when(found != "", found)
+    def option(*names):
+        return F.coalesce(*[F.col("args")[n] for n in names])
 
-    t = lines.where(v.contains(":=")).select(F.split(v, "\t")[0].alias("ts"), args.alias("args"), nums.alias("nums"))
     out = t.select(
         "ts",
-        option(r"-p (\S+)").alias("path"),
-        option(r"-k (\d+)").cast("int").alias("k"),
-        option(r"-a (\S+)").alias("algorithm"),
-        F.col("args").rlike(r"(^|\s)-c(\s|$)").alias("complements"),
-        option(r"(?:--run-penalty|-x) (\d+)").cast("int").alias("run_penalty"),
+        option("-p").alias("path"),
+        option("-k").cast("int").alias("k"),
+        option("-a").alias("algorithm"),
+        F.map_contains_key("args", "-c").alias("complements"),
+        option("--run-penalty", "-x").cast("int").alias("run_penalty"),
         *[F.coalesce(F.try_element_at("nums", F.lit(i + 1)), F.lit("1")).alias(m) for i, m in enumerate(MEASURES)],
     )
     whole = {m: F.substring_index(m, ".", 1).cast("long") for m in MEASURES if m != "time_s"}

@@ -576,10 +576,11 @@ def _log(spark, sf_dir):
 _OBJ = "2 * CAST(floor(length + runs * (1 + log2(length / runs))) AS BIGINT)"
 
 
-@register("results_parse", f"""WITH g AS ({_LOG}) SELECT 'run-' || l_orderkey || '-' || l_linenumber AS ts, path, k, algorithm, complements, run_penalty, length, runs,
+@register("results_parse", f"""WITH g AS ({_LOG}) SELECT 'run-' || l_orderkey || '-' || l_linenumber AS ts, path, k, algorithm, complements, coalesce(run_penalty, -1) AS run_penalty, length, runs,
 0.25::DOUBLE AS time_s, 100::BIGINT AS mem_kib, 10::BIGINT AS gzip, 20::BIGINT AS bzip2, xz, 1::BIGINT AS zpaq, 1::BIGINT AS zstd FROM g""")
 def results_parse(spark, sf_dir):
-    return _log(spark, sf_dir)
+    """-1 stands for no run penalty."""
+    return _log(spark, sf_dir).withColumn("run_penalty", F.coalesce("run_penalty", F.lit(-1)))
 
 
 @register("results_relative", f"""WITH g AS (SELECT *, {_OBJ} AS objective FROM ({_LOG})),
