@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kmerloom.llm import pii, sharding, simhash, warc, winnow
+from kmerloom.llm import pii, repeats, sharding, simhash, warc, winnow
 from kmerloom.llm.tables import table
 
 QUERIES = {
     "op3_pii_information": lambda spark, d: pii.query(table(spark, d, "documents")),
     "op4_shard_bytes": lambda spark, d: sharding.query(table(spark, d, "documents")),
     "op5_winnow": lambda spark, d: winnow.query(table(spark, d, "documents")),
+    "op6_suffix_passes": lambda spark, d: repeats.query(table(spark, d, "documents")),
     "op7_simhash_anchors": lambda spark, d: simhash.query(table(spark, d, "documents")),
     "op10_warc_salvage": lambda spark, d: warc.query(table(spark, d, "pages")),
 }
