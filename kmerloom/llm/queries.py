@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from kmerloom.llm import pii, repeats, sharding, simhash, warc, winnow
+from kmerloom.llm import decontaminate, pii, repeats, sharding, simhash, warc, winnow
 from kmerloom.llm.tables import table
 
 QUERIES = {
+    "op1_decontaminate_cgk": lambda spark, d: decontaminate.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_pii_information": lambda spark, d: pii.query(table(spark, d, "documents")),
     "op4_shard_bytes": lambda spark, d: sharding.query(table(spark, d, "documents")),
     "op5_winnow": lambda spark, d: winnow.query(table(spark, d, "documents")),
