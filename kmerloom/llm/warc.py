@@ -115,12 +115,15 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | None:
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
     """The gzip member that starts at ``at``, checked by its own checksum and length, and its end."""
-    unpack = zlib.decompressobj(31)
-    try:
-        out = unpack.decompress(data[at:])
-    except zlib.error:
-        return None
-    return (out, len(data) - len(unpack.unused_data)) if unpack.eof else None
+    unpack, view, parts = zlib.decompressobj(31), memoryview(data), []
+    while not unpack.eof and at < len(data):
+        piece = view[at : at + 16384]
+        at += len(piece)
+        try:
+            parts.append(unpack.decompress(piece))
+        except zlib.error:
+            return None
+    return (b"".join(parts), at - len(unpack.unused_data)) if unpack.eof else None
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
