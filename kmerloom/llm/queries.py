@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kmerloom.llm import decontaminate, pii, repeats, sharding, simhash, warc, winnow
+from kmerloom.llm import decontaminate, pii, repeats, sharding, simhash, toxicity, warc, winnow
 from kmerloom.llm.tables import table
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_winnow": lambda spark, d: winnow.query(table(spark, d, "documents")),
     "op6_suffix_passes": lambda spark, d: repeats.query(table(spark, d, "documents")),
     "op7_simhash_anchors": lambda spark, d: simhash.query(table(spark, d, "documents")),
+    "op9_toxicity_lexicon": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_warc_salvage": lambda spark, d: warc.query(table(spark, d, "pages")),
 }
 
