@@ -105,7 +105,7 @@ SQL = r"""
 WITH named AS (
   SELECT page_id, url, regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.+$', '') AS h,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS p,
-    ('0x' || substr(md5(CAST(page_id AS VARCHAR) || 'fetch'), 1, 7))::BIGINT % 31536000 AS at
+    ('0x' || substr(md5(CAST(page_id AS VARCHAR) || 'fetch'), 1, 7))::BIGINT % 31536000 AS fetched
   FROM pages),
 hosts AS (SELECT DISTINCT h FROM named WHERE h <> ''),
 listed AS (SELECT h FROM hosts UNION SELECT regexp_replace(h, '^[^.]*\.', '') FROM hosts),
@@ -116,14 +116,14 @@ entries AS (
 one AS (SELECT key, since, bool_or(blocked) AS blocked FROM entries GROUP BY key, since),
 spans AS (SELECT key, since, lead(since, 1, 1099511627776) OVER (PARTITION BY key ORDER BY since) AS until, blocked FROM one),
 parts AS (
-  SELECT *, string_split(h, '.') AS labels, list_filter(string_split(p, '/'), x -> x <> '') AS segments FROM named),
+  SELECT *, string_split(h, '.') AS labels, list_filter(string_split(p, '/'), lambda x: x <> '') AS segments FROM named),
 asked AS (
-  SELECT page_id, at, i AS rank, array_to_string(labels[-i:], '.') AS key FROM parts, range(1, 9) AS r(i) WHERE h <> '' AND i <= len(labels)
+  SELECT page_id, fetched, i AS rank, array_to_string(labels[-i:], '.') AS key FROM parts, range(1, 9) AS r(i) WHERE h <> '' AND i <= len(labels)
   UNION ALL
-  SELECT page_id, at, i + 8, h || '/' || array_to_string(segments[1:i], '/') FROM parts, range(1, 4) AS r(i) WHERE h <> '' AND i <= len(segments)),
+  SELECT page_id, fetched, i + 8, h || '/' || array_to_string(segments[1:i], '/') FROM parts, range(1, 4) AS r(i) WHERE h <> '' AND i <= len(segments)),
 best AS (
-  SELECT page_id, at, max(struct_pack(rank := rank, key := a.key, since := since, blocked := blocked)) AS b
-  FROM asked a JOIN spans s ON a.key = s.key AND s.since <= a.at AND a.at < s.until GROUP BY page_id, at)
-SELECT n.page_id, n.at AS fetched, b.key AS matched, b.since AS since, CAST(coalesce(b.blocked, FALSE) AS INTEGER) AS blocked
-FROM named n LEFT JOIN best USING (page_id, at)
+  SELECT page_id, fetched, max(struct_pack(rank := rank, key := a.key, since := since, blocked := blocked)) AS b
+  FROM asked a JOIN spans s ON a.key = s.key AND s.since <= a.fetched AND a.fetched < s.until GROUP BY page_id, fetched)
+SELECT n.page_id, n.fetched, b.key AS matched, b.since AS since, CAST(coalesce(b.blocked, FALSE) AS INTEGER) AS blocked
+FROM named n LEFT JOIN best USING (page_id, fetched)
 """
