@@ -8,25 +8,23 @@ windows. Digits are bytes named by hashes: 64 bits where a pass only excludes, 1
 1. Anchors stand in for suffixes. Each window start is served by the smallest gram hash among the
    next ``SPREAD`` starts, a choice that depends on the window's own bytes, so equal windows have
    anchors at equal offsets. First digit: the ``depth - SPREAD`` bytes after the anchor, which lie
-   in every window served by it.
-2. The starts served by a surviving anchor are cut in blocks of ``STEP``. Second digit: the bytes
-   common to all windows of a block. In a surviving group, blocks with equal bytes over *all* their
-   windows are repeated as a whole; of each such class one member goes on with the single blocks.
+   in every window served by it. Anchors of a surviving group whose bytes are equal over *all*
+   windows they serve are repeated as a whole; of each such class one member goes on with the rest.
+2. The starts served by an anchor that goes on are cut in blocks of ``STEP``. Second digit: the bytes
+   common to all windows of a block; classes of blocks are settled in the same way.
 3. Third digit: the whole windows that start in the remaining blocks, one by one.
 
-Work follows the bytes in the first pass, the repeated bytes in the second, and the ends of repeated
-stretches in the third. Texts are named by a 128-bit key, so rows with equal texts are one text that
+Work follows the bytes in the first pass and the ends of repeated stretches in the others. Texts are named by a 128-bit key, so rows with equal texts are one text that
 occurs more than once, whatever their doc_ids are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +33,7 @@ from kmerloom.llm.tables import text_key, whole
 from kmerloom.plans.runtime import cut
 
 #: Window starts served by one anchor at most, starts per block, bytes of a gram.
-SPREAD, STEP, GRAM = 192, 32, 24
+SPREAD, STEP, GRAM = 256, 32, 24
 #: Bytes of a text that one numpy step looks at.
 SLICE = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -71,9 +69,9 @@ def _gram_order(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: bytes, depth: int) -> np.ndarray:
-    """Positions of the anchors of all windows of ``depth`` bytes, ascending."""
+    """Rows (anchor, first start, last start) that split all window starts of a text, ascending."""
     starts, out = len(data) - depth + 1, []
-    spread = min(SPREAD, depth // 2)
+    spread = _spread(depth)
     for at in range(0, max(starts, 0), SLICE):
         part = np.frombuffer(data, dtype=np.uint8, count=min(SLICE, starts - at) + spread + GRAM - 2, offset=at)
         # the leftmost smallest gram: its rank above, its place below
@@ -85,35 +83,64 @@ def anchors(data: bytes, depth: int) -> np.ndarray:
         if width < spread:
             key = np.minimum(key[: len(key) - (spread - width)], key[spread - width :])
         place = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
-        out.append(place[np.flatnonzero(np.diff(place, prepend=-1))] + at)
-    return np.unique(np.concatenate(out)) if out else np.empty(0, dtype=np.int64)
-
-
-def _first_digits(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataFrame]:
-    own, digest = depth - min(SPREAD, depth // 2), xxhash.xxh3_64_intdigest
-    for texts in batches:
-        held, k1s, k2s, at = [], [], [], []
-        for k1, k2, text in zip(texts["k1"], texts["k2"], texts["text"], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            places = anchors(data, depth)
-            held.extend(digest(data[p : p + own]) for p in places.tolist())
-            k1s.append(np.full(len(places), k1))
-            k2s.append(np.full(len(places), k2))
-            at.append(places)
-            if len(held) > 200_000:
-                yield pd.DataFrame({"digit": _signed(held), "k1": np.concatenate(k1s), "k2": np.concatenate(k2s), "at": np.concatenate(at).astype(np.int32)})
-                held, k1s, k2s, at = [], [], [], []
-        if held:
-            yield pd.DataFrame({"digit": _signed(held), "k1": np.concatenate(k1s), "k2": np.concatenate(k2s), "at": np.concatenate(at).astype(np.int32)})
-
-
-def _blocks(place: int, n: int, depth: int) -> Iterator[tuple[int, int, int, int]]:
-    """(number, start, first valid start, last valid start) of the blocks served by the anchor at ``place``."""
-    spread = min(SPREAD, depth // 2)
-    step = min(STEP, spread)
-    for j in range(-(-spread // step)):
-        a = place - spread + 1 + j * step
-        low, high = max(a, 0), min(a + step - 1, place, n - depth)
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        last = np.append(first[1:], len(place)) - 1
+        out.append(np.stack((place[first], first, last), axis=1) + at)
+    return np.concatenate(out) if out else np.empty((0, 3), dtype=np.int64)
+
+
+def _spread(depth: int) -> int:
+    return min(SPREAD, depth // 2)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
+    """(k1, k2, bytes of the text, packed numbers of each further column), one row in Python at a time."""
+    for batch in batches:
+        k1s, k2s, texts = (batch.column(batch.schema.get_field_index(n)) for n in ("k1", "k2", "text"))
+        lists = [batch.column(batch.schema.get_field_index(n)) for n in more]
+        for i in range(batch.num_rows):
+            numbers = [c[i].values.to_numpy(zero_copy_only=False) if c[i].is_valid else np.empty(0, np.int64) for c in lists]
+            yield (k1s[i].as_py(), k2s[i].as_py(), texts[i].as_buffer().to_pybytes(), *numbers)
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32() if n in ("at", "low", "high") else pa.int64() for n in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def _first_digits(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    own, digest, wide = depth - _spread(depth), xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
+    held, size = [], 0
+
+    def frame() -> pa.RecordBatch:
+        spots = np.concatenate([spot for *_, spot in held]).astype(np.int32)
+        halves = np.frombuffer(b"".join([b for _, names, *_ in held for b in names]), dtype="<i8").reshape(-1, 2)
+        sizes = [len(spot) for *_, spot in held]
+        keys = [np.repeat(np.array([one[n] for one in held], dtype=np.int64), sizes) for n in (2, 3)]
+        columns = [_signed([d for digits, *_ in held for d in digits]), halves[:, 0], halves[:, 1], *keys, *spots.T]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["digit", "o1", "o2", "k1", "k2", "at", "low", "high"])
+
+    for k1, k2, data in _rows(batches):
+        spots = anchors(data, depth)
+        digits, names = [], []
+        for p, low, high in spots.tolist():
+            digits.append(digest(data[p : p + own]))
+            names.append(wide(b"%d,%d;" % (p - low, p - high) + data[low : high + depth]))
+        held.append((digits, names, k1, k2, spots))
+        size += len(digits)
+        if size > 100_000:
+            yield frame()
+            held, size = [], 0
+    if held:
+        yield frame()
+
+
+def _blocks(place: int, first: int, last: int, depth: int) -> Iterator[tuple[int, int, int, int]]:
+    """(number, start, first start, last start) of the blocks of the starts that the anchor at ``place`` serves."""
+    spread = _spread(depth)
+    for j in range(-(-spread // STEP)):
+        a = place - spread + 1 + j * STEP
+        low, high = max(a, first), min(a + STEP - 1, last)
         if low <= high:
             yield j, a, low, high
 
@@ -122,67 +149,77 @@ def _halves(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _second_digits(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataFrame]:
-    names, step = ["core", "o1", "o2", "k1", "k2", "low", "high"], min(STEP, depth // 2)
-    for texts in batches:
-        rows = []
-        for k1, k2, text, places in zip(texts["k1"], texts["k2"], texts["text"], texts["places"], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            for p in sorted(places):
-                for j, a, low, high in _blocks(int(p), len(data), depth):
-                    last = min(a + step - 1, int(p))
-                    core = xxhash.xxh3_64_intdigest(data[last : a + depth], j)
-                    outer = xxhash.xxh3_128_digest(b"%d,%d,%d;" % (j, low - a, high - a) + data[low : high + depth])
-                    rows.append((core - (1 << 64) if core >> 63 else core, *_halves(outer), k1, k2, low, high))
-            if len(rows) > 100_000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-
-def _third_digits(batches: Iterator[pd.DataFrame], depth: int) -> Iterator[pd.DataFrame]:
-    names = ["d1", "d2", "k1", "k2", "low"]
-    for texts in batches:
-        rows = []
-        for k1, k2, text, blocks in zip(texts["k1"], texts["k2"], texts["text"], texts["blocks"], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            done = -1
-            for low, high in sorted((int(b["low"]), int(b["high"])) for b in blocks):
-                for s in range(max(low, done + 1), high + 1):
-                    rows.append((*_halves(xxhash.xxh3_128_digest(data[s : s + depth])), k1, k2, s))
-                done = max(done, high)
-            if len(rows) > 100_000:
-                yield pd.DataFrame(rows, columns=names)
-                rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
-
-
-def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = []
-        for k1, k2, text, runs in zip(texts["k1"], texts["k2"], texts["text"], texts["runs"], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            kept, spans, end = [], 0, 0
-            removed, at = 0, -1
-            for low, high in sorted((int(r["low"]), int(r["stop"])) for r in runs):
-                if low > at:
-                    kept.append(data[end:low])
-                    spans += 1
-                    removed += high - low
-                    at = end = high
-                elif high > at:
-                    removed += high - at
-                    at = end = high
-            kept.append(data[end:])
-            rest = b"".join(kept)
-            rows.append((k1, k2, removed, spans, hashlib.sha256(rest).hexdigest(), rest))
-        yield pd.DataFrame(rows, columns=["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"])
+def _second_digits(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    names, rows = ["core", "o1", "o2", "k1", "k2", "low", "high"], []
+    for k1, k2, data, spots in _rows(batches, "open"):
+        for packed in spots.tolist():
+            p = packed >> 16
+            for j, a, low, high in _blocks(p, p - (packed >> 8 & 255), p - (packed & 255), depth):
+                last = min(a + STEP - 1, p)
+                core = xxhash.xxh3_64_intdigest(data[last : a + depth], j)
+                outer = xxhash.xxh3_128_digest(b"%d,%d,%d;" % (j, low - a, high - a) + data[low : high + depth])
+                rows.append((core - (1 << 64) if core >> 63 else core, *_halves(outer), k1, k2, low, high))
+        if len(rows) > 50_000:
+            yield _table(rows, names)
+            rows = []
+    if rows:
+        yield _table(rows, names)
+
+
+def _third_digits(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    names, rows = ["d1", "d2", "k1", "k2", "low"], []
+    for k1, k2, data, blocks in _rows(batches, "blocks"):
+        done = -1
+        for packed in sorted(blocks.tolist()):
+            low, high = packed >> 32, packed & 0xFFFFFFFF
+            for s in range(max(low, done + 1), high + 1):
+                rows.append((*_halves(xxhash.xxh3_128_digest(data[s : s + depth])), k1, k2, s))
+            done = max(done, high)
+        if len(rows) > 50_000:
+            yield _table(rows, names)
+            rows = []
+    if rows:
+        yield _table(rows, names)
+
+
+def _kept(data: bytes, runs: list[int]) -> tuple[int, int, bytes]:
+    """Bytes removed, maximal stretches removed, and what is left."""
+    kept, spans, removed, end = [], 0, 0, 0
+    at = -1
+    for packed in sorted(runs):
+        low, high = packed >> 32, packed & 0xFFFFFFFF
+        if low > at:
+            kept.append(data[end:low])
+            spans += 1
+            removed += high - low
+            at = end = high
+        elif high > at:
+            removed += high - at
+            at = end = high
+    kept.append(data[end:])
+    return removed, spans, b"".join(kept)
+
+
+def _without(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    names, rows, size = ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"], [], 0
+    kinds = [*[pa.int64()] * 4, pa.string(), pa.binary()]
+
+    def frame() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for k1, k2, data, runs in _rows(batches, "runs"):
+        removed, spans, rest = _kept(data, runs.tolist())
+        rows.append((k1, k2, removed, spans, hashlib.sha256(rest).hexdigest(), rest if texts else None))
+        size += len(rest) if texts else 0
+        if len(rows) >= 10_000 or size > 8 << 20:
+            yield frame()
+            rows, size = [], 0
+    if rows:
+        yield frame()
 
 
 def runs(docs: DataFrame, depth: int = 400) -> tuple[DataFrame, DataFrame]:
-    """``(k1, k2, low, stop)`` of repeated stretches of texts that occur once, and ``(k1, k2, id, copies)`` of all texts.
+    """``(k1, k2, text, runs)`` with the repeated stretches of texts that occur once, and ``(k1, k2, id, copies)`` of all texts.
 
     A text that occurs more than once and has ``depth`` bytes is repeated as a whole and not listed.
     """
@@ -190,33 +227,51 @@ def runs(docs: DataFrame, depth: int = 400) -> tuple[DataFrame, DataFrame]:
     known = cut(texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")))
 
     long = texts.where(F.col("n") >= depth).select("k1", "k2", "text")
-    first = cut(long.mapInPandas(lambda it: _first_digits(it, depth), "digit long, k1 long, k2 long, at int"))
-    place = F.struct("k1", "k2", "at")
+    first = cut(long.mapInArrow(lambda it: _first_digits(it, depth), "digit long, o1 long, o2 long, k1 long, k2 long, at int, low int, high int"))
+    # two names of places stand for all places of a group: it has one place only if they are equal
+    place = F.xxhash64("k1", "k2", "at")
     again = first.groupBy("digit").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("digit")
-    places = first.join(again, "digit").groupBy("k1", "k2").agg(F.collect_set("at").alias("places"))
+    marked = _settled(cut(first.join(again, "digit")), "digit", place, ["at", "low", "high"])
+    spot = F.expr("shiftleft(bigint(at), 16) | shiftleft(bigint(at - low), 8) | bigint(at - high)")
+    lists = marked.groupBy("k1", "k2").agg(
+        F.collect_set(F.when(F.col("whole"), _stretch("low", f"high + {depth}"))).alias("sure"), F.collect_set(F.when(F.col("goes"), spot)).alias("open")
+    )
 
     # one row of each text goes on: the one with the smallest doc_id
-    wanted = places.join(known.select("k1", "k2", "id"), ["k1", "k2"])
+    wanted = lists.join(known.select("k1", "k2", "id"), ["k1", "k2"])
     t, w = texts.select("doc_id", "text", "k1", "k2").alias("t"), wanted.alias("w")
     meet = (F.col("t.k1") == F.col("w.k1")) & (F.col("t.k2") == F.col("w.k2")) & F.col("t.doc_id").eqNullSafe(F.col("w.id"))
-    open_texts = cut(t.join(w, meet).select("t.k1", "t.k2", "t.text", "w.places"))
-
-    second = cut(open_texts.mapInPandas(lambda it: _second_digits(it, depth), "core long, o1 long, o2 long, k1 long, k2 long, low int, high int"))
-    block = F.struct("k1", "k2", "low")
-    classes = second.groupBy("core", "o1", "o2").agg(F.min(block).alias("a"), F.max(block).alias("z"))
-    groups = classes.groupBy("core").agg(F.count(F.lit(1)).alias("n_classes"))
-    judged = classes.join(groups, "core").where("n_classes > 1 or a <> z")
-    marked = cut(second.join(judged, ["core", "o1", "o2"]).select("k1", "k2", "low", "high", (F.col("a") != F.col("z")).alias("whole"), ((F.col("n_classes") > 1) & (block == F.col("a"))).alias("goes")))
-
-    blocks = marked.where("goes").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("blocks"))
-    third = cut(open_texts.select("k1", "k2", "text").join(blocks, ["k1", "k2"]).mapInPandas(lambda it: _third_digits(it, depth), "d1 long, d2 long, k1 long, k2 long, low int"))
-    start = F.struct("k1", "k2", "low")
+    held = cut(t.join(w, meet).select("t.k1", "t.k2", "t.text", "w.sure", "w.open"))
+
+    second = cut(held.where(F.size("open") > 0).select("k1", "k2", "text", "open").mapInArrow(lambda it: _second_digits(it, depth), "core long, o1 long, o2 long, k1 long, k2 long, low int, high int"))
+    parts = cut(_settled(second, "core", F.xxhash64("k1", "k2", "low"), ["low", "high"]))
+    blocks = parts.where("goes").groupBy("k1", "k2").agg(F.collect_set(_stretch("low", "high")).alias("blocks"))
+    third = cut(held.select("k1", "k2", "text").join(blocks, ["k1", "k2"]).mapInArrow(lambda it: _third_digits(it, depth), "d1 long, d2 long, k1 long, k2 long, low int"))
+    start = F.xxhash64("k1", "k2", "low")
     same = third.groupBy("d1", "d2").agg(F.min(start).alias("a"), F.max(start).alias("z")).where("a <> z").select("d1", "d2")
-    single = third.join(same, ["d1", "d2"]).select("k1", "k2", "low", (F.col("low") + depth).alias("stop"))
-    every = marked.where("whole").select("k1", "k2", "low", (F.col("high") + depth).alias("stop")).union(single)
+    single = third.join(same, ["d1", "d2"]).select("k1", "k2", _stretch("low", f"low + {depth}").alias("run"))
+    more = parts.where("whole").select("k1", "k2", _stretch("low", f"high + {depth}").alias("run")).union(single)
+    listed = more.groupBy("k1", "k2").agg(F.collect_set("run").alias("more"))
     once = known.where("copies = 1").select("k1", "k2")
-    found = every.join(once, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "stop")).alias("runs"))
-    return open_texts.select("k1", "k2", "text").join(found, ["k1", "k2"]), known
+    found = held.select("k1", "k2", "text", "sure").join(listed, ["k1", "k2"], "left").join(once, ["k1", "k2"], "left_semi")
+    every = F.concat("sure", F.coalesce("more", F.array().cast("array<bigint>")))
+    return found.select("k1", "k2", "text", every.alias("runs")).where(F.size("runs") > 0), known
+
+
+def _stretch(low: str, stop: str):
+    """Two places of a text in one LONG."""
+    return F.expr(f"shiftleft(bigint({low}), 32) | bigint({stop})")
+
+
+def _settled(rows: DataFrame, group: str, place, kept: list[str]) -> DataFrame:
+    """Of each group with several places: ``whole`` members, whose class (o1, o2) repeats, and one of each class that ``goes`` on."""
+    names = [group, "o1", "o2"]
+    classes = rows.groupBy(*names).agg(F.min(place).alias("a"), F.max(place).alias("z"))
+    groups = classes.groupBy(group).agg(F.count(F.lit(1)).alias("n_classes"))
+    judged = classes.join(groups, group).where("n_classes > 1 or a <> z")
+    goes = (F.col("n_classes") > 1) & (place == F.col("a"))
+    out = rows.join(judged, names).select("k1", "k2", *kept, (F.col("a") != F.col("z")).alias("whole"), goes.alias("goes"))
+    return out.where("whole or goes")
 
 
 def without_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
@@ -229,7 +284,7 @@ def without_repeats(docs: DataFrame, depth: int = 400) -> DataFrame:
     if depth < 2 * GRAM:
         raise ValueError(f"depth must be at least {2 * GRAM} bytes")
     open_texts, known = runs(docs, depth)
-    cuts = open_texts.mapInPandas(_without, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("kept")
+    cuts = open_texts.mapInArrow(lambda it: _without(it, False), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary").drop("kept")
     told = known.select("k1", "k2", "copies").join(cuts, ["k1", "k2"], "left")
     data = whole("text").cast("binary")
     plain = docs.select("doc_id", *text_key(), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha256"))
