@@ -51,6 +51,25 @@ def decode(x: Column, n: int) -> Column:
     return F.translate(F.lpad(F.conv(x.cast("string"), 10, 4), n, "0"), "0123", "ACGT")
 
 
+_PLACES = 2**33
+
+
+def place(rec: Column, pos: Column, rev: Column | None = None) -> Column:
+    """(rec, pos, strand) as one DECIMAL that sorts in this order, for any LONG rec and pos below 2^32.
+
+    A decimal, because its minimum stays a hash aggregate with map-side combine, which that of a struct is not.
+    """
+    low = pos.cast("long") * 2 if rev is None else pos.cast("long") * 2 + rev.cast("long")
+    return (rec.cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(11,0)") + low.cast("decimal(11,0)")).cast("decimal(38,0)")
+
+
+def unplace(x: Column) -> tuple[Column, Column, Column]:
+    """(rec, pos, rev) of a ``place``."""
+    low = F.pmod(x, F.lit(_PLACES).cast("decimal(11,0)")).cast("long")
+    rec = ((x - low.cast("decimal(11,0)")) / F.lit(_PLACES).cast("decimal(11,0)")).cast("decimal(20,0)").cast("long")
+    return rec, F.shiftright(low, 1), low.bitwiseAND(F.lit(1)) == 1
+
+
 def drop_overlap(s: Column, overlap: int) -> Column:
     return F.substring(s, overlap + 1, 2**31 - 1)
 

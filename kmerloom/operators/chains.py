@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation
@@ -9,49 +11,42 @@ from pyspark.sql import functions as F
 
 from kmerloom.plans.runtime import cut
 
-# A chain table of at most this many rows (about 3 MB) is resolved by one vectorised task.
-SMALL_ROWS = 100_000
-
-_SCHEMA = "id long, root long, hops long, low long, cyclic boolean"
+_NAMES = ["id", "root", "hops", "low", "done"]
 
 
-def _resolve_small(batches):
+def _shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Follow pointers as far as they stay among the rows of one partition."""
     parts = list(batches)
-    if not parts:
+    t = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=_NAMES)
+    if t.empty:
         return
-    t = pd.concat(parts, ignore_index=True).sort_values("id", ignore_index=True)
-    ids, nxt, low = (t[c].to_numpy() for c in ("id", "nxt", "low"))
-    hops, n = np.ones(len(ids), np.int64), len(ids)
-    if n:
-        at = np.minimum(np.searchsorted(ids, nxt), n - 1)
-        live = ids[at] == nxt
-        for _ in range(int(n).bit_length() + 1):
-            if not live.any():
-                break
-            j = at[live]
-            hops[live] += hops[j]
-            low[live] = np.minimum(low[live], low[j])
-            nxt[live], at[live], live[live] = nxt[j].copy(), at[j].copy(), live[j].copy()
-        yield pd.DataFrame({"id": ids, "root": nxt, "hops": hops, "low": low, "cyclic": live})
+    t = t.sort_values("id", ignore_index=True)
+    ids, root, hops, low, done = (t[c].to_numpy().copy() for c in _NAMES)
+    at = np.minimum(np.searchsorted(ids, root), len(ids) - 1)
+    live = (ids[at] == root) & ~done
+    # a pointer to a row that leads out of the partition takes over its target and waits there
+    for _ in range(int(len(ids)).bit_length()):
+        if not live.any():
+            break
+        j = at[live]
+        hops[live] += hops[j]
+        low[live] = np.minimum(low[live], low[j])
+        done[live] |= done[j]
+        root[live], at[live], live[live] = root[j].copy(), at[j].copy(), live[j].copy()
+    yield pd.DataFrame({"id": ids, "root": root, "hops": hops, "low": low, "done": done})
 
 
-def resolve(pointers: DataFrame, rows: int, small_rows: int | None = None) -> tuple[DataFrame, int]:
-    """Follow (id, nxt, low) until nxt is no id any more.
+def resolve(pointers: DataFrame) -> tuple[DataFrame, int]:
+    """Follow (id, nxt, low), all LONG and id unique, until nxt is no id any more.
 
     Returns rows (id, root, hops, low, cyclic): the final target, the number of steps, the
     least ``low`` on the way, and whether the pointer runs in a cycle (then ``low`` is
-    the least of its cycle); and the number of cycling pointers.  ``rows`` is the known
-    row count of ``pointers``.
+    the least of its cycle); and the number of cycling pointers. Every round first follows
+    pointers inside each partition and then jumps once across partitions.
     """
-    if rows <= (SMALL_ROWS if small_rows is None else small_rows):
-        seen = Observation()
-        out = pointers.select("id", "nxt", "low").coalesce(1).mapInPandas(_resolve_small, _SCHEMA)
-        out = cut(out.observe(seen, F.count_if("cyclic").alias("cyclic")))
-        return out, int(seen.get["cyclic"])
-
-    state = pointers.select(
-        "id", F.col("nxt").alias("root"), F.lit(1).cast("long").alias("hops"), "low", F.lit(False).alias("done")
-    )
+    schema = "id long, root long, hops long, low long, done boolean"
+    state = pointers.select("id", F.col("nxt").alias("root"), F.lit(1).cast("long").alias("hops"), "low", F.lit(False).alias("done"))
+    state = cut(state.repartition("id").mapInPandas(_shortened, schema))
     while True:
         ahead = state.select(
             F.col("id").alias("root"), F.col("root").alias("r2"), F.col("hops").alias("h2"),

@@ -11,29 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.kmers import PACKED_MAX_K, codec
+from kmerloom.functions.kmers import PACKED_MAX_K, codec, place, unplace
 from kmerloom.operators.extract import CHUNK, windows
 from kmerloom.plans.runtime import cut
 
 
 def first_occurrences(seqs: DataFrame, k: int, complements: bool) -> DataFrame:
-    """(rec, pos, kmer) of the windows that show a k-mer for the first time; kmer as read.
-
-    Position and strand are packed into one LONG so that the minimum stays a plain hash
-    aggregate with map-side combine; record ids must lie in [0, 2^31).
-    """
+    """(rec, pos, kmer) of the windows that show a k-mer for the first time; kmer as read."""
     w = windows(seqs, k, complements)
-    rec = F.when(F.col("rec").between(0, 2**31 - 1), F.col("rec")).otherwise(
-        F.raise_error(F.lit("record ids must lie in [0, 2^31)"))
-    )
-    order = F.shiftleft(rec, 32).bitwiseOR(F.shiftleft(F.col("pos"), 1)).bitwiseOR(F.col("rev").cast("long"))
-    first = w.groupBy("kmer").agg(F.min(order).alias("o"))
-    back = F.col("o").bitwiseAND(F.lit(1)) == 1
-    return first.select(
-        F.shiftrightunsigned("o", 32).alias("rec"),
-        F.shiftrightunsigned(F.col("o").bitwiseAND(F.lit(2**32 - 1)), 1).alias("pos"),
-        F.when(back, codec(k).rc(F.col("kmer"), k)).otherwise(F.col("kmer")).alias("kmer"),
-    )
+    first = w.groupBy("kmer").agg(F.min(place(F.col("rec"), F.col("pos"), F.col("rev"))).alias("o"))
+    rec, pos, back = unplace(F.col("o"))
+    return first.select(rec.alias("rec"), pos.alias("pos"), F.when(back, codec(k).rc(F.col("kmer"), k)).otherwise(F.col("kmer")).alias("kmer"))
 
 
 def _finish(frags: DataFrame, first, last, k: int, complements: bool) -> DataFrame:

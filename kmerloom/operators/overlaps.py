@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import codec
+from kmerloom.plans.runtime import cut, cut_counted
 
 
 def overlap_pairs(kmer_set: DataFrame, k: int, d: int) -> DataFrame:
@@ -20,42 +21,51 @@ def overlap_pairs(kmer_set: DataFrame, k: int, d: int) -> DataFrame:
     return a.join(b, "w").where("src <> dst").select("src", "dst", F.lit(d).alias("overlap"))
 
 
-def _words(kmer_set: DataFrame, k: int, side: str, depths) -> DataFrame:
-    """(kmer, d, w) for each depth: the last (``suffix``) or first d letters of each k-mer."""
-    c = codec(k)
-    x = F.col("kmer")
-    part = (lambda d: c.suffix(x, d)) if side == "suffix" else (lambda d: c.prefix(x, k, d))
-    return kmer_set.select("kmer", F.inline(F.array(*[F.struct(F.lit(d).alias("d"), part(d).alias("w")) for d in depths])))
-
-
 def best_overlaps(kmer_set: DataFrame, k: int) -> DataFrame:
     """(src, dst, overlap): the longest overlap (1..k-1) of each k-mer with another one, the
     smallest partner on ties.
 
-    Prefixes are reduced to the two smallest k-mers per word first, so no pair list is built.
+    Depth by depth from k-1 down; a k-mer leaves as soon as it has a partner, so few reach the
+    short words that many k-mers share. Prefixes are reduced to the two smallest k-mers per word.
     """
-    heads = _two_smallest(_words(kmer_set, k, "prefix", range(1, k)))
-    tails = _words(kmer_set, k, "suffix", range(1, k)).withColumnRenamed("kmer", "src")
-    j = tails.join(heads, ["d", "w"])
-    dst = F.when(F.col("first") != F.col("src"), F.col("first")).otherwise(F.col("second"))
-    j = j.select("src", "d", dst.alias("dst")).where(F.col("dst").isNotNull())
-    return j.groupBy("src").agg(F.max_by("dst", "d").alias("dst"), F.max("d").alias("overlap"))
+    c, x = codec(k), F.col("kmer")
+    open_, n = cut_counted(kmer_set.select(x.alias("src")))
+    found = None
+    for d in range(k - 1, 0, -1):
+        if n == 0:
+            break
+        heads = _two_smallest(kmer_set.select("kmer", c.prefix(x, k, d).alias("w")))
+        dst = F.when(F.col("first") != F.col("src"), F.col("first")).otherwise(F.col("second"))
+        tails = open_.select("src", c.suffix(F.col("src"), d).alias("w"))
+        hit = cut(tails.join(heads, "w").select("src", dst.alias("dst"), F.lit(d).alias("overlap")).where("dst is not null"))
+        found = hit if found is None else found.unionByName(hit)
+        open_, n = cut_counted(open_.join(hit, "src", "left_anti"))
+    none = open_.where("false").select("src", F.col("src").alias("dst"), F.lit(0).alias("overlap"))
+    return none if found is None else found
 
 
 def _two_smallest(words: DataFrame) -> DataFrame:
-    """(d, w, first, second): the two smallest k-mers of each word, by two plain minima."""
-    first = words.groupBy("d", "w").agg(F.min("kmer").alias("first"))
-    rest = words.join(first, ["d", "w"]).where("kmer > first")
-    second = rest.groupBy("d", "w").agg(F.min("kmer").alias("second"))
-    return first.join(second, ["d", "w"], "left")
+    """(w, first, second): the two smallest k-mers of each word, by two plain minima."""
+    first = words.groupBy("w").agg(F.min("kmer").alias("first"))
+    rest = words.join(first, "w").where("kmer > first")
+    second = rest.groupBy("w").agg(F.min("kmer").alias("second"))
+    return first.join(second, "w", "left")
 
 
 def failure_links(kmer_set: DataFrame, k: int) -> DataFrame:
-    """(kmer, depth): longest proper suffix of the k-mer that is a prefix of any k-mer."""
-    heads = _words(kmer_set, k, "prefix", range(1, k)).select("d", "w").distinct()
-    tails = _words(kmer_set, k, "suffix", range(1, k))
-    hit = tails.join(heads, ["d", "w"], "left_semi").groupBy("kmer").agg(F.max("d").alias("depth"))
-    return kmer_set.select("kmer").join(hit, "kmer", "left").select("kmer", F.coalesce("depth", F.lit(0)).alias("depth"))
+    """(kmer, depth): longest proper suffix of the k-mer that is a prefix of any k-mer; settled k-mers leave the search."""
+    c, x = codec(k), F.col("kmer")
+    open_, n = cut_counted(kmer_set.select("kmer"))
+    found = None
+    for d in range(k - 1, 0, -1):
+        if n == 0:
+            break
+        heads = kmer_set.select(c.prefix(x, k, d).alias("w")).distinct()
+        hit = cut(open_.select("kmer", c.suffix(x, d).alias("w")).join(heads, "w", "left_semi").select("kmer", F.lit(d).alias("depth")))
+        found = hit if found is None else found.unionByName(hit)
+        open_, n = cut_counted(open_.join(hit, "kmer", "left_anti"))
+    rest = open_.select("kmer", F.lit(0).alias("depth"))
+    return rest if found is None else found.unionByName(rest)
 
 
 def prefix_ranges(probe: DataFrame, kmer_set: DataFrame, k: int, d: int) -> DataFrame:
@@ -87,7 +97,27 @@ def complement_pairs(kmer_set: DataFrame, k: int) -> DataFrame:
     return r.join(kmer_set.select(F.col("kmer").alias("rc")), "rc", "left_semi").select("kmer", "rc")
 
 
-def presorted(kmer_set: DataFrame, k: int, index: str) -> DataFrame:
-    """Stable order by the first four letters only: sorted by (bucket, index)."""
+def presorted(indexed: DataFrame, k: int, index: str) -> DataFrame:
+    """(kmer, bucket, place): the order by the first four letters only, stable in ``index``; place counts from 1 in each bucket.
+
+    A bucket may hold any share of the set, so its places are counted in the parts of a range
+    partitioning and shifted by what earlier parts hold of the bucket.
+    """
     bucket = codec(k).prefix(F.col("kmer"), k, min(4, k))
-    return kmer_set.withColumn("bucket", bucket).orderBy("bucket", index)
+    rows = indexed.select("kmer", bucket.alias("bucket"), F.col(index).alias("index"))
+    rows = cut(rows.repartitionByRange("bucket", "index").withColumn("part", F.spark_partition_id()))
+    sizes = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n")
+    own = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("index"))
+    placed = rows.withColumn("own", own).join(sizes.select("bucket", "part", earlier.alias("earlier")), ["bucket", "part"])
+    return placed.select("kmer", "bucket", (F.col("own") + F.col("earlier")).alias("place"))
+
+
+def with_previous(kmer_set: DataFrame) -> DataFrame:
+    """(kmer, previous): the sorted set, each k-mer with its predecessor; sorted in range partitions that are
+    stitched with one row for each."""
+    rows = cut(kmer_set.select("kmer").repartitionByRange("kmer").withColumn("part", F.spark_partition_id()))
+    own = F.lag("kmer").over(Window.partitionBy("part").orderBy("kmer"))
+    ends = rows.groupBy("part").agg(F.max("kmer").alias("last"))
+    before = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"))
+    return rows.withColumn("own", own).join(before, "part").select("kmer", F.coalesce("own", "before").alias("previous"))

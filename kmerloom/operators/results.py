@@ -56,9 +56,9 @@ def relative(results: DataFrame, baseline: str = "global") -> DataFrame:
 
 
 def best_penalty(results: DataFrame) -> DataFrame:
-    """Run penalty with the least objective (smallest on ties) per input and k."""
+    """Run penalty with the least objective (smallest on ties) per input, k and strand model."""
     r = with_objective(results).where(F.col("run_penalty").isNotNull())
-    return r.groupBy("path", "k").agg(
+    return r.groupBy("path", "k", "complements").agg(
         F.min_by("run_penalty", F.struct("objective", "run_penalty")).alias("best_penalty"),
         F.min("objective").alias("best_objective"),
     )
@@ -69,6 +69,8 @@ def implied_penalties(results: DataFrame) -> DataFrame:
 
 
 def missing(configurations: DataFrame, results: DataFrame) -> DataFrame:
-    """Configurations (path, k, algorithm) without a result."""
-    keys = ["path", "k", "algorithm"]
-    return configurations.join(results.select(*keys).distinct(), keys, "left_anti")
+    """Configurations (path, k, algorithm, complements, run_penalty) without a result; no penalty equals no penalty."""
+    keys = ["path", "k", "algorithm", "complements", "run_penalty"]
+    c, r = configurations.alias("c"), results.select(*keys).distinct().alias("r")
+    same = [F.col(f"c.{key}").eqNullSafe(F.col(f"r.{key}")) for key in keys]
+    return c.join(r, same, "left_anti")

@@ -8,7 +8,7 @@ the whole string in one place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import reverse_complement
@@ -37,23 +37,21 @@ def _fragments(source: DataFrame, k: int, complements: bool) -> DataFrame:
     return from_kmers(source, k, complements)
 
 
-def global_greedy(source: DataFrame, k: int, complements: bool = True, small_rows: int | None = None) -> DataFrame:
+def global_greedy(source: DataFrame, k: int, complements: bool = True) -> DataFrame:
     """Greedy over all overlaps k-1 .. 1; what is left unmatched is concatenated."""
-    return _greedy(source, k, complements, 1, small_rows)
+    return _greedy(source, k, complements, 1)
 
 
-def local_greedy(
-    source: DataFrame, k: int, d_max: int = 5, complements: bool = True, small_rows: int | None = None
-) -> DataFrame:
+def local_greedy(source: DataFrame, k: int, d_max: int = 5, complements: bool = True) -> DataFrame:
     """Paths that skip at most d_max letters per step, i.e. overlaps of at least k-d_max."""
     if d_max < 1:
         raise ValueError("d_max must be positive")
-    return _greedy(source, k, complements, max(k - min(d_max, k - 1), 1), small_rows)
+    return _greedy(source, k, complements, max(k - min(d_max, k - 1), 1))
 
 
-def _greedy(source: DataFrame, k: int, complements: bool, least: int, small_rows: int | None) -> DataFrame:
+def _greedy(source: DataFrame, k: int, complements: bool, least: int) -> DataFrame:
     frags = _fragments(source, k, complements)
-    m = Matcher(k, complements, small_rows).start(frags)
+    m = Matcher(k, complements).start(frags)
     for d in range(k - 1, least - 1, -1):
         m.level(d)
     return cut(_render(m.layout(frags), frags, k))
@@ -87,7 +85,7 @@ def to_chunks(pieces: DataFrame, k: int) -> DataFrame:
 
 
 def stats(chunked: DataFrame, k: int) -> DataFrame:
-    """One row: length, ones, runs and objective over all parts concatenated."""
+    """One row: length, ones and runs over all parts concatenated."""
     own = F.substring("piece", 1, CHUNK)
     # a run starts at an upper-case letter after a lower-case one; each part starts anew,
     # and its lower-case tail separates it from the next
@@ -95,7 +93,3 @@ def stats(chunked: DataFrame, k: int) -> DataFrame:
     starts = F.regexp_count(F.concat(F.when(F.col("off") == 0, F.lit("a")).otherwise(F.lit("")), F.col("own"), F.col("next")), F.lit("(?<=[acgt])[ACGT]"))
     t = t.select(F.length("own").alias("len"), F.regexp_count("own", F.lit("[ACGT]")).alias("ones"), starts.alias("runs"))
     return t.agg(F.sum("len").alias("length"), F.sum("ones").alias("ones"), F.sum("runs").alias("runs"))
-
-
-def length_of(pieces: DataFrame) -> Column:
-    return F.sum(F.length("piece"))

@@ -32,7 +32,7 @@ _TABLES = {
     "documents": ("doc_id", "text"),
     "benchmark": ("item_id", "text"),
     "pages": ("page_id", "html"),
-    "conversations": ("conv_id * 4096 + turn", "text"),
+    "conversations": ("conv_id * 2147483648 + turn", "text"),
 }
 
 
@@ -87,6 +87,8 @@ def kmer_set(spark, sf_dir, name="documents", k=K0, canonical=True, digits=SEP)
     return extract.kmers(dna(spark, sf_dir, name, digits), k, canonical)
 
 
+# the set and what it is joined on are computed once, so that the plan of a join cannot go wrong
+_FIXED = f"WITH {windows_sql('documents', K0)}, s AS MATERIALIZED (SELECT DISTINCT canon AS kmer FROM w)"
 _SET = f"WITH {windows_sql('documents', K0)}, s AS (SELECT DISTINCT canon AS kmer FROM w)"
 _FWD = f"WITH {windows_sql('documents', K0)}, s AS (SELECT DISTINCT km AS kmer FROM w)"
 
@@ -149,9 +151,12 @@ def kmer_count_distinct(spark, sf_dir):
     return extract.distinct_count(kmer_set(spark, sf_dir, k=31, digits=PLAIN))
 
 
-@register("kmer_approx_distinct")
+@register("kmer_approx_distinct", f"{_SET} SELECT count(*) AS n_distinct, TRUE AS close FROM s")
 def kmer_approx_distinct(spark, sf_dir):
-    return kmer_set(spark, sf_dir).agg(F.approx_count_distinct("kmer").alias("n_distinct"))
+    """The exact number, and whether the sketch is within 5 % of it."""
+    n = F.col("n_distinct")
+    t = kmer_set(spark, sf_dir).agg(F.count(F.lit(1)).alias("n_distinct"), F.approx_count_distinct("kmer", 0.02).alias("about"))
+    return t.select("n_distinct", (F.abs(F.col("about") - n) <= 0.05 * n).alias("close"))
 
 
 @register("kmer_stats", f"""WITH {windows_sql('documents', K0)}, c AS (SELECT canon, count(*) AS n FROM w GROUP BY 1)
@@ -171,7 +176,9 @@ def kmer_complement_filter(spark, sf_dir):
     return extract.decoded(extract.canonical_set(kmer_set(spark, sf_dir, canonical=False), K0), K0)
 
 
-@register("complement_pairs", f"{_FWD} SELECT a.kmer, b.kmer AS rc FROM s a JOIN s b ON b.kmer = {rc_sql('a.kmer')} WHERE a.kmer <= b.kmer")
+@register("complement_pairs", f"""WITH {windows_sql('documents', K0)}, s AS MATERIALIZED (SELECT DISTINCT km AS kmer FROM w),
+r AS MATERIALIZED (SELECT kmer, {rc_sql('kmer')} AS rc FROM s), j AS (SELECT r.kmer, s.kmer AS rc FROM r JOIN s ON s.kmer = r.rc)
+SELECT kmer, rc FROM j WHERE kmer <= rc""")
 def complement_pairs(spark, sf_dir):
     p = overlaps.complement_pairs(cut(kmer_set(spark, sf_dir, canonical=False)), K0)
     return p.select(K.decode(F.col("kmer"), K0).alias("kmer"), K.decode(F.col("rc"), K0).alias("rc"))
@@ -266,7 +273,8 @@ def set_except(spark, sf_dir):
 
 
 def _overlap_sql(d):
-    return f"{_SET} SELECT a.kmer AS src, b.kmer AS dst, {d} AS overlap FROM s a JOIN s b ON right(a.kmer, {d}) = left(b.kmer, {d}) WHERE a.kmer <> b.kmer"
+    return f"""{_FIXED}, a AS MATERIALIZED (SELECT kmer AS src, right(kmer, {d}) AS w FROM s), b AS MATERIALIZED (SELECT kmer AS dst, left(kmer, {d}) AS w FROM s),
+j AS (SELECT src, dst FROM a JOIN b USING (w)) SELECT src, dst, {d} AS overlap FROM j WHERE src <> dst"""
 
 
 def _pairs_text(p):
@@ -296,9 +304,9 @@ def best_overlap_per_kmer(spark, sf_dir):
     return _pairs_text(b.withColumn("overlap", F.col("overlap").cast("long")))
 
 
-@register("failure_links", f"""{_SET}, h0 AS (SELECT kmer, {_DEPTHS} FROM s), h AS (SELECT DISTINCT d, left(kmer, d) AS w FROM h0)
-SELECT s.kmer, coalesce(f.depth, 0) AS depth FROM s LEFT JOIN
-(SELECT h0.kmer, max(h0.d) AS depth FROM h0 JOIN h ON h.d = h0.d AND h.w = right(h0.kmer, h0.d) GROUP BY 1) f ON f.kmer = s.kmer""")
+@register("failure_links", f"""{_FIXED}, h0 AS MATERIALIZED (SELECT kmer, d, right(kmer, d) AS w, left(kmer, d) AS v FROM (SELECT kmer, {_DEPTHS} FROM s)),
+h AS MATERIALIZED (SELECT DISTINCT v AS w, d FROM h0), f AS (SELECT h0.kmer, max(h0.d) AS depth FROM h0 JOIN h USING (w, d) GROUP BY 1)
+SELECT s.kmer, coalesce(f.depth, 0) AS depth FROM s LEFT JOIN f ON f.kmer = s.kmer""")
 def failure_links(spark, sf_dir):
     return extract.decoded(overlaps.failure_links(cut(kmer_set(spark, sf_dir)), K0), K0).withColumn("depth", F.col("depth").cast("long"))
 
@@ -336,23 +344,16 @@ def left_extension(spark, sf_dir):
 SELECT kmer, left(kmer, 4) AS bucket, row_number() OVER (PARTITION BY left(kmer, 4) ORDER BY idx) AS place FROM f""")
 def partial_presort(spark, sf_dir):
     """Place of each k-mer inside its four-letter bucket, in input order."""
-    from pyspark.sql import Window
-
     w = extract.windows(dna(spark, sf_dir, "documents"), K0, True)
-    f = w.groupBy("kmer").agg(F.min(F.shiftleft("rec", 32) + F.col("pos")).alias("idx"))
+    f = w.groupBy("kmer").agg(F.min(K.place(F.col("rec"), F.col("pos"))).alias("idx"))
     s = overlaps.presorted(f, K0, "idx")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy("idx"))
-    return s.select(K.decode(F.col("kmer"), K0).alias("kmer"), K.decode(F.col("bucket"), 4).alias("bucket"), place.cast("long").alias("place"))
+    return s.select(K.decode(F.col("kmer"), K0).alias("kmer"), K.decode(F.col("bucket"), 4).alias("bucket"), F.col("place").cast("long").alias("place"))
 
 
-@register("kmer_sorted", f"{_SET} SELECT kmer, lag(kmer) OVER (PARTITION BY left(kmer, 3) ORDER BY kmer) AS previous FROM s")
+@register("kmer_sorted", f"{_SET} SELECT kmer, lag(kmer) OVER (ORDER BY kmer) AS previous FROM s")
 def kmer_sorted(spark, sf_dir):
-    """Sorted set; each k-mer with its predecessor inside its three-letter range."""
-    from pyspark.sql import Window
-
-    t = kmer_set(spark, sf_dir).withColumn("range", K.codec(K0).prefix(F.col("kmer"), K0, 3))
-    prev = F.lag("kmer").over(Window.partitionBy("range").orderBy("kmer"))
-    t = t.select("kmer", prev.alias("previous"))
+    """The sorted set, each k-mer with its predecessor."""
+    t = overlaps.with_previous(kmer_set(spark, sf_dir))
     return t.select(K.decode(F.col("kmer"), K0).alias("kmer"), F.when(F.col("previous").isNotNull(), K.decode(F.col("previous"), K0)).alias("previous"))
 
 
@@ -434,7 +435,7 @@ def _ms(spark, sf_dir, name="conversations"):
 _W = f"WITH {windows_sql('conversations', KM, CASED)}"
 _ON = f"{_W}, kk AS (SELECT DISTINCT canon FROM w WHERE up), o AS (SELECT rec, pos, w.canon FROM w JOIN kk ON kk.canon = w.canon)"
 _IV = f"""{_ON}, b AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY rec ORDER BY pos) = pos - 1 THEN NULL ELSE pos END AS st FROM o),
-iv AS (SELECT rec, pos, canon, rec * 4294967296 + max(st) OVER (PARTITION BY rec ORDER BY pos) AS interval FROM b)"""
+iv AS (SELECT rec, pos, canon, struct_pack(rec := rec, start := max(st) OVER (PARTITION BY rec ORDER BY pos)) AS interval FROM b)"""
 _PRE = f"""{_IV}, inc AS (SELECT DISTINCT canon AS kmer, interval FROM iv), one AS (SELECT kmer, min(interval) AS interval FROM inc GROUP BY 1 HAVING count(*) = 1),
 forced AS (SELECT DISTINCT interval FROM one), und AS (SELECT DISTINCT kmer FROM inc EXCEPT SELECT kmer FROM inc JOIN forced USING (interval))"""
 
@@ -473,9 +474,10 @@ def get_k(spark, sf_dir):
     return _ms(spark, sf_dir, "documents").select("rec", T.infer_k(F.col("seq")).cast("long").alias("k"))
 
 
-@register("mask_convention", f"SELECT rec, length(seq) >= 2 AND right(seq, 1) = lower(right(seq, 1)) AND left(right(seq, 2), 1) <> lower(left(right(seq, 2), 1)) AS convention_ok FROM ({seq_sql('documents', CASED)})")
+@register("mask_convention", f"""SELECT rec, length(seq) >= 3 AND right(seq, 2) = lower(right(seq, 2)) AND left(right(seq, 3), 1) <> lower(left(right(seq, 3), 1)) AS convention_ok
+FROM ({seq_sql('documents', CASED)})""")
 def mask_convention(spark, sf_dir):
-    return masks.convention(_ms(spark, sf_dir, "documents"), 2)
+    return masks.convention(_ms(spark, sf_dir, "documents"), 3)
 
 
 @register("mask_max_ones", f"{_ON} SELECT rec, pos FROM o")
@@ -488,14 +490,14 @@ def mask_min_ones(spark, sf_dir):
     return masks.optimize(_ms(spark, sf_dir), KM, True, "zeros")
 
 
-@register("mask_intervals", f"{_IV} SELECT interval, count(*) AS n FROM iv GROUP BY 1")
+@register("mask_intervals", f"{_IV} SELECT interval.rec AS rec, interval.start AS start, count(*) AS n FROM iv GROUP BY 1, 2")
 def mask_intervals(spark, sf_dir):
-    return masks.with_intervals(masks.max_ones(_ms(spark, sf_dir), KM, True)).groupBy("interval").agg(F.count(F.lit(1)).alias("n"))
+    return masks.with_intervals(masks.max_ones(_ms(spark, sf_dir), KM, True)).groupBy("interval").agg(F.count(F.lit(1)).alias("n")).select("interval.rec", "interval.start", "n")
 
 
-@register("kmer_interval_incidence", f"{_IV} SELECT DISTINCT canon AS kmer, interval FROM iv")
+@register("kmer_interval_incidence", f"{_IV} SELECT DISTINCT canon AS kmer, interval.rec AS rec, interval.start AS start FROM iv")
 def kmer_interval_incidence(spark, sf_dir):
-    return extract.decoded(masks.incidence(masks.max_ones(_ms(spark, sf_dir), KM, True)), KM)
+    return extract.decoded(masks.incidence(masks.max_ones(_ms(spark, sf_dir), KM, True)).select("kmer", "interval.rec", "interval.start"), KM)
 
 
 @register("mask_presolve", f"{_PRE} SELECT 'forced' AS kind, count(*) AS n FROM forced UNION ALL SELECT 'undecided', count(*) FROM und")
@@ -522,7 +524,7 @@ def mask_min_runs_decode(spark, sf_dir):
 
 @register("ms_to_rspss", f"""{_W}, b AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY rec ORDER BY pos) = pos - 1 THEN NULL ELSE pos END AS st FROM w WHERE up),
 r AS (SELECT rec, km, pos, max(st) OVER (PARTITION BY rec ORDER BY pos) AS start FROM b)
-SELECT rec, start, left(min(km ORDER BY pos), 0) || substr(arg_min(km, pos), 1, {KM - 1}) || string_agg(right(km, 1), '' ORDER BY pos) AS spell FROM r GROUP BY 1, 2""".replace("left(min(km ORDER BY pos), 0) || ", ""))
+SELECT rec, start, substr(arg_min(km, pos), 1, {KM - 1}) || string_agg(right(km, 1), '' ORDER BY pos) AS spell FROM r GROUP BY 1, 2""")
 def ms_to_rspss(spark, sf_dir):
     return convert.to_strings(_ms(spark, sf_dir), KM)
 
@@ -541,11 +543,6 @@ def ms_compare(spark, sf_dir):
     return convert.compare_superstrings(_ms(spark, sf_dir), _ms(spark, sf_dir, "pages"), KM, True)
 
 
-@register("ms_compressed_size")
-def ms_compressed_size(spark, sf_dir):
-    return convert.compressed_sizes(_ms(spark, sf_dir), "gzip")
-
-
 # ---- run logs: one log line per line item ----------------------------------
 
 _ALGS = ["global", "loac", "local", "streaming"]
@@ -593,7 +590,7 @@ def results_relative(spark, sf_dir):
 
 
 @register("results_best_penalty", f"""WITH g AS (SELECT *, {_OBJ} AS objective FROM ({_LOG}) WHERE run_penalty IS NOT NULL)
-SELECT path, k, arg_min(run_penalty, objective * 1000 + run_penalty) AS best_penalty, min(objective) AS best_objective FROM g GROUP BY 1, 2""")
+SELECT path, k, complements, arg_min(run_penalty, objective * 1000 + run_penalty) AS best_penalty, min(objective) AS best_objective FROM g GROUP BY 1, 2, 3""")
 def results_best_penalty(spark, sf_dir):
     return results.best_penalty(_log(spark, sf_dir))
 
@@ -604,12 +601,14 @@ def results_implied_penalty(spark, sf_dir):
 
 
 @register("results_missing_anti", f"""WITH g AS ({_LOG}), c AS (SELECT DISTINCT 'data/set' || (o_custkey % 9) || '.fa' AS path,
-  CAST(23 + 8 * (o_orderkey % 4) AS INTEGER) AS k, 'loac' AS algorithm FROM orders)
-SELECT path, k, algorithm FROM c WHERE (path, k, algorithm) NOT IN (SELECT path, k, algorithm FROM g)""")
+  CAST(23 + 8 * (o_orderkey % 4) AS INTEGER) AS k, 'loac' AS algorithm, o_custkey % 2 = 0 AS complements, CAST(o_orderkey % 20 AS INTEGER) AS run_penalty FROM orders)
+SELECT path, k, algorithm, complements, run_penalty FROM c WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.path = c.path AND g.k = c.k AND g.algorithm = c.algorithm
+  AND g.complements = c.complements AND g.run_penalty IS NOT DISTINCT FROM c.run_penalty)""")
 def results_missing_anti(spark, sf_dir):
     wanted = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("data/set"), (F.col("o_custkey") % 9).cast("string"), F.lit(".fa")).alias("path"),
         (23 + 8 * (F.col("o_orderkey") % 4)).cast("int").alias("k"), F.lit("loac").alias("algorithm"),
+        (F.col("o_custkey") % 2 == 0).alias("complements"), (F.col("o_orderkey") % 20).cast("int").alias("run_penalty"),
     ).distinct()
     return results.missing(wanted, _log(spark, sf_dir))
 

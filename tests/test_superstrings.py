@@ -42,15 +42,15 @@ def random_words(k, n, seed, c):
     return sorted({brute.canon(w) for w in words} if c else words)
 
 
-@pytest.mark.parametrize("k,c,small", [(4, True, 0), (5, False, None), (33, True, None)])
-def test_constructors_keep_the_set(spark, k, c, small):
+@pytest.mark.parametrize("k,c", [(4, True), (5, False), (33, True)])
+def test_constructors_keep_the_set(spark, k, c):
     words = random_words(k, 40, k + c, c)
     source = kset(spark, words, k).cache()
     low = lower_bound(source, k, c).first()[0]
     makers = {
-        4: [lambda: superstrings.global_greedy(source, k, c, small)],
-        5: [lambda: superstrings.local_greedy(source, k, 2, c, small), lambda: bounded(source, k, c, 3, small_rows=small)],
-        33: [lambda: superstrings.local_greedy(source, k, 2, c, small)],
+        4: [lambda: superstrings.global_greedy(source, k, c)],
+        5: [lambda: superstrings.local_greedy(source, k, 2, c), lambda: bounded(source, k, c, 3)],
+        33: [lambda: superstrings.local_greedy(source, k, 2, c)],
     }
     for make in makers[k]:
         pieces = make()
@@ -72,10 +72,12 @@ def test_from_sequences_with_repeats(spark):
     assert sum(map(str.isupper, s)) == len(truth)
 
 
-@pytest.mark.parametrize("small", [None, 0])
-def test_resolve_chains_and_cycles(spark, small):
+@pytest.mark.parametrize("parts", [1, 7])
+def test_resolve_chains_and_cycles(spark, parts, monkeypatch):
+    frame = type(spark.range(0))
+    monkeypatch.setattr(frame, "repartition", lambda self, *a, f=frame.repartition: f(self, parts, *a))
     rows = [(i, i + 1, i) for i in range(10, 40)] + [(101, 102, 7), (102, 103, 5), (103, 101, 9), (200, 200, 3)]
-    out, n = resolve(spark.createDataFrame(rows, "id long, nxt long, low long"), len(rows), small)
+    out, n = resolve(spark.createDataFrame(rows, "id long, nxt long, low long"))
     got = {r.id: r for r in out.collect()}
     assert all(got[i].root == 40 and got[i].hops == 40 - i and not got[i].cyclic for i in range(10, 40))
     assert n == 4 and {got[i].low for i in (101, 102, 103)} == {5} and got[200].cyclic
@@ -113,7 +115,8 @@ def test_mask_runs(spark, s, words, k, c, goal, want):
 
 
 def test_min_runs_odd_cycle_keeps_cover(spark):
-    inc = spark.createDataFrame([(1, 10), (1, 20), (2, 20), (2, 30), (3, 30), (3, 10)], "kmer long, interval long")
+    pairs = [(1, 10), (1, 20), (2, 20), (2, 30), (3, 30), (3, 10)]
+    inc = spark.createDataFrame([(k, (2**40, i)) for k, i in pairs], "kmer long, interval struct<rec:long,start:long>")
     assert masks.min_runs_intervals(inc).count() == 2
 
 
@@ -121,7 +124,7 @@ def test_intervals_span_chunks(spark):
     s = "A" * 3000 + "C" + "A" * 5
     ones = masks.max_ones(seqs(spark, [s]), 3, False, kset(spark, ["AAA"], 3))
     got = masks.with_intervals(ones).groupBy("interval").agg(F.count("*").alias("n")).orderBy("interval").collect()
-    assert [(r.interval, r.n) for r in got] == [(1, 2998), (3002, 3)]
+    assert [(r.interval.rec, r.interval.start, r.n) for r in got] == [(0, 1, 2998), (0, 3002, 3)]
 
 
 @pytest.mark.parametrize(
@@ -130,3 +133,44 @@ def test_intervals_span_chunks(spark):
 )
 def test_to_strings(spark, ms, k, want):
     assert [r.spell for r in convert.to_strings(seqs(spark, [ms]), k).orderBy("start").collect()] == want
+
+
+@pytest.mark.parametrize("k", [21, 31, 33])
+def test_constructor_masks_and_strings_form_one_chain(spark, k):
+    """Record ids of constructed pieces are packed ends and exceed 2^32."""
+    rnd = random.Random(k)
+    texts = ["".join(rnd.choice("ACGT") for _ in range(120)) for _ in range(12)]
+    texts += [t[20:90] for t in texts[:4]]
+    truth = brute.kmer_set(texts, k, True)
+    pieces = superstrings.to_chunks(superstrings.global_greedy(seqs(spark, texts), k, True), k)
+    assert pieces.where("rec > 4294967296").count() > 0 or k > 31
+    for goal in ("ones", "zeros", "runs", "runsapprox"):
+        again = masks.apply_mask(pieces, masks.optimize(pieces, k, True, goal), k)
+        joined = again.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("off", "piece"))).alias("p")).collect()
+        got = ["".join(x.piece for x in r.p) for r in joined]
+        assert brute.kmer_set(got, k, True, True) == truth
+    spelled = [r.spell for r in convert.to_strings(pieces, k).collect()]
+    assert brute.kmer_set(spelled, k, True) == truth
+
+
+def test_records_far_apart_keep_their_intervals(spark):
+    ids = [5, 2**32 + 5, 2**40 + 5, -3]
+    ms = spark.createDataFrame([(i, "ACGTACgtAC" + "ACGT"[n] * 4) for n, i in enumerate(ids)], "rec long, seq string")
+    got = masks.with_intervals(masks.max_ones(ms, 4, False)).select("rec", "interval.*").toDF("rec", "r", "s").collect()
+    assert all(x.rec == x.r for x in got) and {x.r for x in got} == set(ids)
+    assert {r.rec for r in convert.to_strings(ms, 4).collect()} == set(ids)
+    first = {(r.rec, r.pos) for r in masks.min_ones(ms, 4, False).collect()}
+    assert all(rec == -3 for rec, pos in first if pos == 1)
+
+
+@pytest.mark.parametrize("partitions", [2, 5, 16])
+def test_strings_do_not_depend_on_partitioning(spark, partitions):
+    words = random_words(12, 60, 1, True)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = text(superstrings.global_greedy(kset(spark, words, 12).repartition(partitions), 12, True))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    seen = test_strings_do_not_depend_on_partitioning.__dict__.setdefault("seen", got)
+    assert got == seen
