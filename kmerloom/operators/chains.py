@@ -14,8 +14,11 @@ from kmerloom.plans.runtime import cut
 _NAMES = ["id", "root", "hops", "low", "done"]
 
 
-def _shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Follow pointers as far as they stay among the rows of one partition."""
+def _shortened(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Follow pointers as far as they stay among the rows of one partition.
+
+    Where the partition holds all ``rows`` there are, what leads out of it has come to its end.
+    """
     parts = list(batches)
     t = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=_NAMES)
     if t.empty:
@@ -33,20 +36,26 @@ def _shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         low[live] = np.minimum(low[live], low[j])
         done[live] |= done[j]
         root[live], at[live], live[live] = root[j].copy(), at[j].copy(), live[j].copy()
-    yield pd.DataFrame({"id": ids, "root": root, "hops": hops, "low": low, "done": done})
+    settled = len(ids) == rows
+    yield pd.DataFrame({"id": ids, "root": root, "hops": hops, "low": low, "done": ~live if settled else done, "settled": settled})
 
 
-def resolve(pointers: DataFrame) -> tuple[DataFrame, int]:
-    """Follow (id, nxt, low), all LONG and id unique, until nxt is no id any more.
+def resolve(pointers: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """Follow (id, nxt, low), all LONG and id unique, until nxt is no id any more; ``rows`` is their number.
 
     Returns rows (id, root, hops, low, cyclic): the final target, the number of steps, the
     least ``low`` on the way, and whether the pointer runs in a cycle (then ``low`` is
     the least of its cycle); and the number of cycling pointers. Every round first follows
     pointers inside each partition and then jumps once across partitions.
     """
-    schema = "id long, root long, hops long, low long, done boolean"
+    schema = "id long, root long, hops long, low long, done boolean, settled boolean"
     state = pointers.select("id", F.col("nxt").alias("root"), F.lit(1).cast("long").alias("hops"), "low", F.lit(False).alias("done"))
-    state = cut(state.repartition("id").mapInPandas(_shortened, schema))
+    state = state.repartition("id").mapInPandas(lambda it: _shortened(it, rows), schema)
+    seen = Observation()
+    counts = [F.count_if("settled").alias("settled"), F.count_if(~F.col("done")).alias("live")]
+    state = cut(state.observe(seen, *counts)).drop("settled")
+    if seen.get["settled"] == rows:
+        return _told(state), seen.get["live"]
     while True:
         ahead = state.select(
             F.col("id").alias("root"), F.col("root").alias("r2"), F.col("hops").alias("h2"),
@@ -74,4 +83,8 @@ def resolve(pointers: DataFrame) -> tuple[DataFrame, int]:
         got = seen.get
         # every round finishes some pointer unless only cycles are left
         if got["live"] == 0 or (got["finished"] == 0 and got["unstable"] == 0):
-            return state.select("id", "root", "hops", "low", (~F.col("done")).alias("cyclic")), got["live"]
+            return _told(state), got["live"]
+
+
+def _told(state: DataFrame) -> DataFrame:
+    return state.select("id", "root", "hops", "low", (~F.col("done")).alias("cyclic"))

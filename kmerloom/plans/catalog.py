@@ -102,15 +102,18 @@ _FASTA = "'>doc' || doc_id || ' ' || source || chr(10) || translate(hex(text), '
 SELECT 'doc' || doc_id AS name, source AS comment, length(seq) AS n_bases,
   length(seq) - length(replace(seq, 'N', '')) AS n_separators, md5(seq) AS digest FROM t""")
 def fasta_scan(spark, sf_dir):
-    """The documents rendered as FASTA text, parsed again record by record."""
-    from kmerloom.sources.fasta import parse_records, render_fasta
+    """The documents written as FASTA files to the shared folder and read again."""
+    from kmerloom.plans.runtime import scratch_path
+    from kmerloom.sources.fasta import read_fasta, write_fasta
 
     t = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"),
         F.col("source").alias("comment"),
         F.translate(F.hex("text"), "0123456789ABCDEF", SEP).alias("seq"),
     )
-    r = parse_records(render_fasta(t, width=70))
+    path = scratch_path(spark)
+    write_fasta(t, path, width=70)
+    r = read_fasta(spark, path)
     return r.select(
         "name", "comment", F.length("seq").cast("long").alias("n_bases"),
         (F.length("seq") - F.length(F.replace("seq", F.lit("N")))).cast("long").alias("n_separators"), F.md5("seq").alias("digest"),
@@ -440,9 +443,16 @@ _PRE = f"""{_IV}, inc AS (SELECT DISTINCT canon AS kmer, interval FROM iv), one
 forced AS (SELECT DISTINCT interval FROM one), und AS (SELECT DISTINCT kmer FROM inc EXCEPT SELECT kmer FROM inc JOIN forced USING (interval))"""
 
 
-@register("ms_scan", f"SELECT rec, md5(upper(seq)) AS digest, length(seq) AS length FROM ({seq_sql('conversations', CASED)})")
+@register("ms_scan", f"""WITH {windows_sql('conversations', KM, PLAIN)} SELECT DISTINCT km AS kmer FROM w""")
 def ms_scan(spark, sf_dir):
-    return _ms(spark, sf_dir).select("rec", F.md5(T.letters(F.col("seq"))).alias("digest"), F.length("seq").cast("long").alias("length"))
+    """The streaming superstring of all conversations written as one record, read again in lines, and decoded."""
+    from kmerloom.plans.runtime import scratch_path
+    from kmerloom.sources.fasta import read_superstring, write_superstring
+
+    s = streaming_superstring(dna(spark, sf_dir, "conversations", PLAIN), KM, False)
+    path = scratch_path(spark)
+    write_superstring(s.select(F.col("rec").alias("part"), F.col("pos").alias("rank"), "piece"), KM, path)
+    return _decoded_pieces(read_superstring(spark, path), KM, False)
 
 
 @register("ms_decode", f"{_W} SELECT DISTINCT canon AS kmer FROM w WHERE up")

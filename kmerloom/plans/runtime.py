@@ -10,18 +10,25 @@ from pyspark.sql import functions as F
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is named."""
+    """The shared folder the cluster names; one of this machine only where none is named and Spark is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     chosen = context._jsc.sc().getCheckpointDir()
     if chosen.isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="kmerloom-"))
         chosen = context._jsc.sc().getCheckpointDir()
     return chosen.get()
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_folder(spark).rstrip('/')}/kmerloom-tables/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from the written table.
 
@@ -30,7 +37,7 @@ def cut(df: DataFrame) -> DataFrame:
     which pile up in iterative jobs until the optimizer stalls.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark).rstrip('/')}/kmerloom-tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

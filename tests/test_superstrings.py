@@ -77,7 +77,7 @@ def test_resolve_chains_and_cycles(spark, parts, monkeypatch):
     frame = type(spark.range(0))
     monkeypatch.setattr(frame, "repartition", lambda self, *a, f=frame.repartition: f(self, parts, *a))
     rows = [(i, i + 1, i) for i in range(10, 40)] + [(101, 102, 7), (102, 103, 5), (103, 101, 9), (200, 200, 3)]
-    out, n = resolve(spark.createDataFrame(rows, "id long, nxt long, low long"))
+    out, n = resolve(spark.createDataFrame(rows, "id long, nxt long, low long"), len(rows))
     got = {r.id: r for r in out.collect()}
     assert all(got[i].root == 40 and got[i].hops == 40 - i and not got[i].cyclic for i in range(10, 40))
     assert n == 4 and {got[i].low for i in (101, 102, 103)} == {5} and got[200].cyclic
