@@ -15,7 +15,7 @@ from kmerloom.llm.tables import bound_to, text_key, whole
 
 LOW = (1 << 32) - 1
 #: Bytes of text a bucket of neighbouring documents should hold, and how many buckets there are at most.
-BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 10_000
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 10_000
 
 
 def winnowed(text: Column, k: int = 5, span: int = 8) -> Column:
