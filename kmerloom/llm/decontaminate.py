@@ -84,15 +84,20 @@ class Index:
         self.own_grams = [set(g.tolist()) for g in own]
         grams = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
         self.bits = max(16, int(len(grams) * 64).bit_length())
-        self.seen = np.zeros(1 << self.bits, dtype=bool)
-        self.seen[(grams >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        # which classes a gram occurs in, one bit each (classes share bits beyond 32)
+        self.seen = np.zeros(1 << self.bits, dtype=np.uint32)
         # classes of similar length share windows: lengths from low to 1.15 * low
         self.classes = []
         while lengths:
             low = lengths[0]
             own = [x for x in lengths if x <= low * 1.15]
             lengths = lengths[len(own) :]
-            self.classes.append(self._class(low, own[-1], own, np.random.default_rng([seed, low])))
+            one = self._class(low, own[-1], own, np.random.default_rng([seed, low]))
+            one["bit"] = np.uint32(1 << len(self.classes) % 32)
+            self.classes.append(one)
+            for item in self.items:
+                if low <= len(item) <= own[-1]:
+                    self.seen[(self.grams(item) >> np.uint64(64 - self.bits)).astype(np.int64)] |= one["bit"]
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         n = max(0, len(ids) - Q + 1)
@@ -145,13 +150,16 @@ class Index:
         """(document, item, first word, words, distance) in a stream of word numbers; bounds: where documents end."""
         grams = self.grams(ids)
         full = np.minimum.reduce([ids[j : j + len(grams)] > 0 for j in range(Q)]) if len(grams) else np.empty(0, bool)
-        hit = self.seen[(grams >> np.uint64(64 - self.bits)).astype(np.int64)] & full
-        if not hit.any():
+        marks = np.where(full, self.seen[(grams >> np.uint64(64 - self.bits)).astype(np.int64)], np.uint32(0))
+        if not marks.any():
             return
-        total = np.concatenate(([0], np.cumsum(hit)))
         starts = np.arange(len(grams))
         met = [np.empty(0, dtype=np.int64)]
         for one in self.classes:
+            hit = (marks & one["bit"]) > 0
+            total = np.concatenate(([0], np.cumsum(hit)))
+            if total[-1] < one["need"]:
+                continue
             ends = np.minimum(starts + one["span"], len(grams))
             able = np.flatnonzero((total[ends] - total[:-1] >= one["need"]) & (starts % one["stride"] == 0))
             # also the window that starts where the first of a row of grams was met
