@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kmerloom.plans.runtime import cut
+from kmerloom.plans.runtime import cut, drop
 
 _NAMES = ["id", "root", "hops", "low", "done"]
 
@@ -53,7 +53,9 @@ def resolve(pointers: DataFrame, rows: int) -> tuple[DataFrame, int]:
     state = state.repartition("id").mapInPandas(lambda it: _shortened(it, rows), schema)
     seen = Observation()
     counts = [F.count_if("settled").alias("settled"), F.count_if(~F.col("done")).alias("live")]
-    state = cut(state.observe(seen, *counts)).drop("settled")
+    held = cut(state.observe(seen, *counts))
+    state = held.drop("settled")
+    state._kmerloom_path = held._kmerloom_path
     if seen.get["settled"] == rows:
         return _told(state), seen.get["live"]
     while True:
@@ -79,7 +81,8 @@ def resolve(pointers: DataFrame, rows: int) -> tuple[DataFrame, int]:
             F.count_if(~F.col("done")).alias("live"),
             F.count_if(~F.col("done") & F.col("unstable")).alias("unstable"),
         )
-        state = cut(moved.drop("unstable").unionByName(state.where("done")))
+        old, state = state, cut(moved.drop("unstable").unionByName(state.where("done")))
+        drop(old)
         got = seen.get
         # every round finishes some pointer unless only cycles are left
         if got["live"] == 0 or (got["finished"] == 0 and got["unstable"] == 0):
@@ -87,4 +90,6 @@ def resolve(pointers: DataFrame, rows: int) -> tuple[DataFrame, int]:
 
 
 def _told(state: DataFrame) -> DataFrame:
-    return state.select("id", "root", "hops", "low", (~F.col("done")).alias("cyclic"))
+    out = state.select("id", "root", "hops", "low", (~F.col("done")).alias("cyclic"))
+    out._kmerloom_path = state._kmerloom_path
+    return out

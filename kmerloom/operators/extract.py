@@ -59,6 +59,8 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
             pieces = part.column(2).to_pylist()
             lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
             data = np.frombuffer(b"".join(pieces), np.uint8)
+            if len(data) < k:
+                continue
             codes = _CODE[data]
             ends = np.cumsum(lens)
             bad = np.concatenate([[0], np.cumsum(codes == 4)])

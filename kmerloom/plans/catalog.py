@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import kmers as K
@@ -22,8 +22,9 @@ SEP = "NCGTACGTACGTACGT"
 PLAIN = "ACGTACGTACGTACGT"
 CASED = "ACgTacGTAcGTaCgt"
 K0 = 11  # k of the set queries
-KG = 9  # k of the constructors
-KM = 9  # k of the mask queries
+KG = 31  # k of the constructors
+KM = 31  # k of the mask queries
+KB = 9  # k of the bound, whose twin is unrolled level by level
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -371,8 +372,13 @@ def streaming(spark, sf_dir):
     return streaming_superstring(dna(spark, sf_dir, "documents"), K0)
 
 
-_TRUTH = f"WITH {windows_sql('documents', KG)} SELECT DISTINCT canon AS kmer FROM w"
-_TRUTH_C = f"WITH {windows_sql('conversations', KG)} SELECT DISTINCT km AS kmer FROM w"
+_TRUTH = f"WITH {windows_sql('documents', KG, PLAIN)} SELECT DISTINCT canon AS kmer FROM w"
+_TRUTH_C = f"WITH {windows_sql('conversations', KG, PLAIN)} SELECT DISTINCT km AS kmer FROM w"
+_SIZE_C = f"WITH {windows_sql('conversations', KG, PLAIN)} SELECT count(DISTINCT canon) AS n_kmers"
+
+
+def _bases(spark, sf_dir, name="documents"):
+    return dna(spark, sf_dir, name, PLAIN)
 
 
 def _decoded_pieces(pieces, k, complements):
@@ -381,23 +387,64 @@ def _decoded_pieces(pieces, k, complements):
 
 @register("global_greedy_decode", _TRUTH)
 def global_greedy_decode(spark, sf_dir):
-    return _decoded_pieces(superstrings.global_greedy(dna(spark, sf_dir, "documents"), KG), KG, True)
+    return _decoded_pieces(superstrings.global_greedy(_bases(spark, sf_dir), KG), KG, True)
 
 
 @register("global_greedy_single_strand_decode", _TRUTH_C)
 def global_greedy_single_strand_decode(spark, sf_dir):
-    return _decoded_pieces(superstrings.global_greedy(dna(spark, sf_dir, "conversations"), KG, False), KG, False)
+    return _decoded_pieces(superstrings.global_greedy(_bases(spark, sf_dir, "conversations"), KG, False), KG, False)
 
 
-@register("global_greedy_stats")
+@register("global_greedy_stats", f"{_SIZE_C}, TRUE AS each_once, TRUE AS above_bound, TRUE AS saves FROM w")
 def global_greedy_stats(spark, sf_dir):
-    p = superstrings.global_greedy(dna(spark, sf_dir, "conversations"), KG)
-    return superstrings.stats(superstrings.to_chunks(p, KG), KG)
+    """Facts about the superstring: as many ones as k-mers, not shorter than the bound, shorter than the k-mers in a row."""
+    seqs = cut(_bases(spark, sf_dir, "conversations"))
+    s = superstrings.stats(superstrings.to_chunks(superstrings.global_greedy(seqs, KG), KG), KG)
+    whole = cut(extract.kmers(seqs, KG, True))
+    b = bound.lower_bound(whole, KG).select(F.col("lower_bound").alias("b"))
+    t = s.join(whole.agg(F.count(F.lit(1)).alias("n_kmers"))).join(b)  # one row each
+    return t.select(
+        "n_kmers", (F.col("ones") == F.col("n_kmers")).alias("each_once"), (F.col("length") >= F.col("b")).alias("above_bound"),
+        (F.col("length") < F.col("n_kmers") * KG).alias("saves"),
+    )
+
+
+@register("ggmo_decode", _TRUTH)
+def ggmo_decode(spark, sf_dir):
+    """Constructor, then the mask with few runs, then the set again."""
+    ms = superstrings.to_chunks(superstrings.global_greedy(_bases(spark, sf_dir), KG), KG)
+    return _decoded_mask(ms, "runs", KG)
+
+
+@register("ggmo_min_ones_decode", _TRUTH)
+def ggmo_min_ones_decode(spark, sf_dir):
+    ms = superstrings.to_chunks(superstrings.global_greedy(_bases(spark, sf_dir), KG), KG)
+    return _decoded_mask(ms, "zeros", KG)
+
+
+def _decoded_mask(ms, goal, k):
+    ms = cut(ms)
+    again = masks.apply_mask(ms, masks.optimize(ms, k, True, goal), k)
+    return _decoded_pieces(again.select(F.col("rec").alias("part"), F.col("off").alias("rank"), "piece"), k, True)
+
+
+@register("ggmo_strings_decode", _TRUTH)
+def ggmo_strings_decode(spark, sf_dir):
+    """Constructor, then the strings of its runs, then the set again."""
+    pieces = superstrings.global_greedy(_bases(spark, sf_dir), KG)
+    spelled = convert.to_strings(superstrings.to_chunks(pieces, KG), KG)
+    return extract.decoded(extract.kmers(spelled.select("rec", F.col("spell").alias("seq")), KG, True), KG)
+
+
+@register("global_greedy_long_decode", f"WITH {windows_sql('benchmark', 41, PLAIN)} SELECT DISTINCT canon AS kmer FROM w")
+def global_greedy_long_decode(spark, sf_dir):
+    """k > 31: text k-mers."""
+    return _decoded_pieces(superstrings.global_greedy(_bases(spark, sf_dir, "benchmark"), 41), 41, True)
 
 
 @register("local_greedy_decode", _TRUTH)
 def local_greedy_decode(spark, sf_dir):
-    return _decoded_pieces(superstrings.local_greedy(dna(spark, sf_dir, "documents"), KG, 3), KG, True)
+    return _decoded_pieces(superstrings.local_greedy(_bases(spark, sf_dir), KG, 5), KG, True)
 
 
 def _lower_bound_sql(k: int) -> str:
@@ -414,15 +461,15 @@ e{d} AS (SELECT right(CASE WHEN m > p THEN {rc_sql('y')} ELSE y END, {d - 1}) AS
     return "\n".join(out) + f"\nSELECT CAST((SELECT count(*) * {k} FROM s) - ({saved}) AS BIGINT) AS lower_bound"
 
 
-@register("lower_bound", _lower_bound_sql(KG))
+@register("lower_bound", _lower_bound_sql(KB))
 def lower_bound(spark, sf_dir):
-    return bound.lower_bound(kmer_set(spark, sf_dir, k=KG), KG).select(F.col("lower_bound").cast("long"))
+    return bound.lower_bound(kmer_set(spark, sf_dir, k=KB), KB).select(F.col("lower_bound").cast("long"))
 
 
-@register("verify_set_equality", f"""WITH {windows_sql('conversations', KG)} SELECT count(DISTINCT canon) AS n_left, count(DISTINCT canon) AS n_right,
+@register("verify_set_equality", f"""WITH {windows_sql('conversations', KG, PLAIN)} SELECT count(DISTINCT canon) AS n_left, count(DISTINCT canon) AS n_right,
 count(DISTINCT canon) AS n_union, count(DISTINCT canon) AS n_both, TRUE AS equal FROM w""")
 def verify_set_equality(spark, sf_dir):
-    seqs = dna(spark, sf_dir, "conversations")
+    seqs = _bases(spark, sf_dir, "conversations")
     p = superstrings.local_greedy(seqs, KG, 2)
     again = extract.kmers(superstrings.to_chunks(p, KG), KG, True, case_sensitive=True)
     return extract.set_equality(extract.kmers(seqs, KG, True), again)
@@ -532,6 +579,19 @@ def mask_min_runs_decode(spark, sf_dir):
     return _decoded_pieces(pieces, KM, True)
 
 
+@register("mask_min_runs_facts", f"""{_PRE} SELECT count(DISTINCT kmer) AS n_kmers, (SELECT count(*) FROM forced) AS n_forced, TRUE AS covered, TRUE AS none_spare, TRUE AS forced_kept FROM inc""")
+def mask_min_runs_facts(spark, sf_dir):
+    """The chosen intervals cover every k-mer, hold all forced ones, and none of them can be left out."""
+    inc = cut(masks.incidence(masks.max_ones(_ms(spark, sf_dir), KM, True)))
+    chosen = cut(masks.min_runs_intervals(inc))
+    forced = masks.presolve(inc)[0]
+    held = inc.join(chosen, "interval", "left_semi").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("kmer")))
+    own = held.groupBy("interval").agg(F.min("n").alias("n")).agg(F.count_if(F.col("n") > 1).alias("spare"))
+    a = inc.agg(F.count_distinct("kmer").alias("n_kmers")).join(held.agg(F.count_distinct("kmer").alias("c"))).join(own)
+    b = forced.agg(F.count(F.lit(1)).alias("n_forced")).join(forced.join(chosen, "interval", "left_anti").agg(F.count(F.lit(1)).alias("lost")))
+    return a.join(b).select("n_kmers", "n_forced", (F.col("c") == F.col("n_kmers")).alias("covered"), (F.col("spare") == 0).alias("none_spare"), (F.col("lost") == 0).alias("forced_kept"))
+
+
 @register("ms_to_rspss", f"""{_W}, b AS (SELECT *, CASE WHEN lag(pos) OVER (PARTITION BY rec ORDER BY pos) = pos - 1 THEN NULL ELSE pos END AS st FROM w WHERE up),
 r AS (SELECT rec, km, pos, max(st) OVER (PARTITION BY rec ORDER BY pos) AS start FROM b)
 SELECT rec, start, substr(arg_min(km, pos), 1, {KM - 1}) || string_agg(right(km, 1), '' ORDER BY pos) AS spell FROM r GROUP BY 1, 2""")
@@ -628,15 +688,24 @@ def results_missing_anti(spark, sf_dir):
 
 @register("loac_decode", _TRUTH)
 def loac_decode(spark, sf_dir):
-    return _decoded_pieces(bounded.bounded(dna(spark, sf_dir, "documents"), KG), KG, True)
+    return _decoded_pieces(bounded.bounded(_bases(spark, sf_dir), KG), KG, True)
 
 
 @register("csac_single_strand_decode", _TRUTH_C)
 def csac_single_strand_decode(spark, sf_dir):
-    return _decoded_pieces(bounded.bounded(dna(spark, sf_dir, "conversations"), KG, False, variant="csac"), KG, False)
+    return _decoded_pieces(bounded.bounded(_bases(spark, sf_dir, "conversations"), KG, False, variant="csac"), KG, False)
 
 
-@register("loac_stats")
+@register("loac_stats", f"{_SIZE_C}, TRUE AS keeps_ones, TRUE AS not_more_runs, TRUE AS not_dearer FROM w")
 def loac_stats(spark, sf_dir):
-    p = bounded.bounded(dna(spark, sf_dir, "conversations"), KG)
-    return superstrings.stats(superstrings.to_chunks(p, KG), KG)
+    """Facts against the plain greedy string of the same set: at least one one per k-mer, no more runs, and not dearer at the given penalty."""
+    seqs, penalty = cut(_bases(spark, sf_dir, "conversations")), 8
+    measures = lambda p: superstrings.stats(superstrings.to_chunks(p, KG), KG)
+    a = measures(superstrings.global_greedy(seqs, KG)).toDF("g_length", "g_ones", "g_runs")
+    b = measures(bounded.bounded(seqs, KG, run_penalty=penalty))
+    n = extract.kmers(seqs, KG, True).agg(F.count(F.lit(1)).alias("n_kmers"))
+    cost = lambda length, runs: F.col(length) + penalty * F.col(runs)
+    return n.join(a).join(b).select(
+        "n_kmers", (F.col("ones") >= F.col("n_kmers")).alias("keeps_ones"), (F.col("runs") <= F.col("g_runs")).alias("not_more_runs"),
+        (cost("length", "runs") <= cost("g_length", "g_runs")).alias("not_dearer"),
+    )

@@ -39,7 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kmerloom_path = path
+    return out
+
+
+def drop(df: DataFrame | None) -> None:
+    """Delete the table behind a ``cut`` that nothing will read any more; other tables are left alone."""
+    path = getattr(df, "_kmerloom_path", None)
+    if path is not None:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut_counted(df: DataFrame) -> tuple[DataFrame, int]:
