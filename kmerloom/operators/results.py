@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions.text import implied_penalty, objective
+from kmerloom.plans.runtime import cut
 
 MEASURES = ["length", "runs", "time_s", "mem_kib", "gzip", "bzip2", "xz", "zpaq", "zstd"]
 
@@ -41,13 +42,13 @@ def with_objective(results: DataFrame) -> DataFrame:
 
 def relative(results: DataFrame, baseline: str = "global") -> DataFrame:
     """Objective and compressed size relative to the baseline algorithm on the same input,
-    k and model."""
+    k and model. The log is parsed once, and the written size of the baselines chooses the join."""
     keys = ["path", "k", "complements"]
-    r = with_objective(results)
+    r = cut(with_objective(results))
     base = r.where(F.col("algorithm") == baseline).groupBy(*keys).agg(
         F.min("objective").alias("base_objective"), F.min("xz").alias("base_xz")
     )
-    return r.join(base, keys, "left").withColumns(
+    return r.join(cut(base), keys, "left").withColumns(
         {
             "relative_objective": F.col("objective") / F.col("base_objective"),
             "relative_xz": F.col("xz") / F.col("base_xz"),
