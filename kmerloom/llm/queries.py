@@ -18,4 +18,4 @@ QUERIES = {
     "op10_warc_salvage": lambda spark, d: warc.query(table(spark, d, "pages")),
 }
 
-ORACLES: dict[str, str] = {"op8_url_asof": urlfilter.SQL}
+ORACLES: dict[str, str] = {"op8_url_asof": urlfilter.SQL, "op10_warc_salvage": warc.SQL}

@@ -97,8 +97,9 @@ def derived_entries(pages: DataFrame) -> DataFrame:
 
 
 def query(pages: DataFrame) -> DataFrame:
+    """since is -1 where no entry was active."""
     out = judged(derived_captures(pages), derived_entries(pages))
-    return out.select(F.col("id").alias("page_id"), F.col("at").alias("fetched"), F.col("key").alias("matched"), "since", F.col("blocked").cast("int").alias("blocked"))
+    return out.select(F.col("id").alias("page_id"), F.col("at").alias("fetched"), F.col("key").alias("matched"), F.coalesce("since", F.lit(-1)).alias("since"), F.col("blocked").cast("int").alias("blocked"))
 
 
 SQL = r"""
@@ -124,6 +125,6 @@ asked AS (
 best AS (
   SELECT page_id, fetched, max(struct_pack(rank := rank, key := a.key, since := since, blocked := blocked)) AS b
   FROM asked a JOIN spans s ON a.key = s.key AND s.since <= a.fetched AND a.fetched < s.until GROUP BY page_id, fetched)
-SELECT n.page_id, n.fetched, b.key AS matched, b.since AS since, CAST(coalesce(b.blocked, FALSE) AS INTEGER) AS blocked
+SELECT n.page_id, n.fetched, b.key AS matched, coalesce(b.since, -1) AS since, CAST(coalesce(b.blocked, FALSE) AS INTEGER) AS blocked
 FROM named n LEFT JOIN best USING (page_id, fetched)
 """

@@ -216,3 +216,16 @@ def query(pages: DataFrame) -> DataFrame:
     write_archives(pages, folder)
     records = read_archives(spark, folder, payloads=False).where("kind = 'record'")
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: base32 of a SHA-1: five hexadecimal digits are 20 bits, four letters.
+SQL = """
+WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+m AS (SELECT x, n, max(page_id) AS top FROM h GROUP BY x, n),
+j AS (SELECT page_id, h.n, h.x, top FROM h JOIN m ON m.x = h.x AND m.n = h.n)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((('0x' || substr(x, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to
+FROM j
+"""
