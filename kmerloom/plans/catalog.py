@@ -683,6 +683,56 @@ def results_missing_anti(spark, sf_dir):
     return results.missing(wanted, _log(spark, sf_dir))
 
 
+_INPUTS = """SELECT 'data/set' || n || '.fa' AS file, CAST(24 + 8 * (n % 3) AS INTEGER) AS k_limit, CAST(n AS INTEGER) AS run_penalty, 'Set ' || n AS label, '0' AS flag
+  FROM (SELECT DISTINCT s_suppkey % 9 AS n FROM supplier)"""
+
+
+def _inputs(spark, sf_dir):
+    """Input lines made of the suppliers, one comment line for each, too."""
+    n = (F.col("s_suppkey") % 9).cast("string")
+    limit = (24 + 8 * (F.col("s_suppkey") % 9 % 3)).cast("string")
+    t = table(spark, sf_dir, "supplier").select(n.alias("n"), limit.alias("limit")).distinct()
+    line = F.concat(F.lit("  data/set"), F.col("n"), F.lit(".fa  "), F.col("limit"), F.lit(" "), F.col("n"), F.lit("\tSet_"), F.col("n"), F.lit("  0"))
+    return results.read_inputs(t.select(F.explode(F.array(F.concat(F.lit("# set "), F.col("n")), F.lit(" "), line)).alias("value")))
+
+
+@register("results_inputs", _INPUTS)
+def results_inputs(spark, sf_dir):
+    return _inputs(spark, sf_dir)
+
+
+@register("results_configurations", f"""WITH i AS ({_INPUTS}) SELECT file AS path, CAST(k AS INTEGER) AS k, algorithm, TRUE AS complements,
+  CAST(CASE WHEN algorithm <> 'global' THEN run_penalty ELSE -1 END AS INTEGER) AS run_penalty
+FROM i, (VALUES (23), (31), (39)) AS a(k), (VALUES ('global'), ('loac')) AS b(algorithm) WHERE k < k_limit""")
+def results_configurations(spark, sf_dir):
+    """-1 stands for no run penalty."""
+    c = results.configurations(_inputs(spark, sf_dir), ["global", "loac"], [23, 31, 39])
+    return c.withColumn("run_penalty", F.coalesce("run_penalty", F.lit(-1)))
+
+
+@register("results_append", f"""WITH g AS ({_LOG}) SELECT 'run-' || l_orderkey || '-' || l_linenumber AS ts, path, k, algorithm, complements, coalesce(run_penalty, -1) AS run_penalty, length, runs, xz FROM g""")
+def results_append(spark, sf_dir):
+    """The log appended to a file in the shared folder and parsed from there."""
+    from kmerloom.plans.runtime import scratch_path
+
+    path = scratch_path(spark)
+    results.append_log(_log(spark, sf_dir), path)
+    again = results.parse_log(spark.read.text(path))
+    return again.select("ts", "path", "k", "algorithm", "complements", F.coalesce("run_penalty", F.lit(-1)).alias("run_penalty"), "length", "runs", "xz")
+
+
+@register("results_table", f"""WITH g AS (SELECT *, {_OBJ} AS objective, 'run-' || l_orderkey || '-' || l_linenumber AS ts FROM ({_LOG}) WHERE k = 31 AND complements),
+i AS ({_INPUTS}), l AS (SELECT path, algorithm, run_penalty, arg_max(struct_pack(length := length, runs := runs, objective := objective, xz := xz), ts) AS r FROM g GROUP BY 1, 2, 3),
+b AS (SELECT file, label, i.run_penalty AS penalty, r AS b FROM i JOIN l ON l.path = i.file AND l.algorithm = 'global' AND l.run_penalty IS NULL),
+o AS (SELECT b.*, l.r AS r FROM b JOIN l ON l.path = b.file AND l.algorithm = 'loac' AND l.run_penalty = b.penalty)
+SELECT label AS dataset, 'GGMO' AS method, b.length AS length, b.runs AS runs, b.objective AS objective, 1.0::DOUBLE AS relative, b.xz AS compressed FROM b
+UNION ALL SELECT label, 'LOAC (' || penalty || ')', r.length, r.runs, r.objective, round(r.objective / b.objective, 6), r.xz FROM o""")
+def results_table(spark, sf_dir):
+    """Relative is 1 for the baseline here; the written table leaves it empty."""
+    t = results.table_rows(_log(spark, sf_dir), _inputs(spark, sf_dir), 31)
+    return t.select("dataset", "method", "length", "runs", "objective", F.coalesce(F.round("relative", 6), F.lit(1.0)).alias("relative"), "compressed")
+
+
 # ---- penalty-bounded superstrings ------------------------------------------
 
 
