@@ -271,9 +271,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The documents without a leak, columns as they were; rows without doc_id are judged by their text alone."""
-    named = docs.withColumn("_row", F.xxhash64(F.col("doc_id"), whole("text")))
-    found = leaks(named.select(F.col("_row").alias("doc_id"), "text"), benchmark, similarity).select(F.col("doc_id").alias("_row")).distinct()
-    return named.join(found, "_row", "left_anti").select(docs.columns)
+    named = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.xxhash64(F.col("doc_id"), whole("text")).alias("row"))
+    found = leaks(named.select(F.col("row").alias("doc_id"), "text"), benchmark, similarity).select(F.col("doc_id").alias("row")).distinct()
+    return named.join(found, "row", "left_anti").select("doc.*")
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -234,8 +234,8 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents whose score stays below the threshold, columns as they were."""
-    renamed = docs.select(*docs.columns, F.struct(*docs.columns).alias("_doc"))
-    return scored(renamed.select("doc_id", "text", "_doc"), labels).where(F.col("score") < threshold).select("_doc.*")
+    held = docs.select("doc_id", "text", F.struct(*docs.columns).alias("doc"))
+    return scored(held, labels).where(F.col("score") < threshold).select("doc.*")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from kmerloom.llm import decontaminate, mixing, pii, repeats, sharding, simhash, winnow
 from tests.llm import brute
 
-SCHEMA = "doc_id long, text string, source string, k1 string, low int, text_ string"
+SCHEMA = "doc_id long, text string, source string, k1 string, row int, doc string"
 ODD = [
     "", None, "a", "one two", "  spaces\tand\nlines  ", "é𝄞 Mixed CASE case", "word " * 3000, "x" * 30000, "1" * 5000, "1.1.1.1" * 50,
     "mail a@b.c_d@e.f x@y.zz. and 4111 1111-1111 1111 or +49 89 1234567", "1.2.3.4.5.6.7.8 300.1.1.1 001.02.255.0", "aa@@bb.cc @ a@b .x@y.z..w", "+1 (234) 567-8901 +12345678901234567890",
