@@ -29,7 +29,7 @@ Q, LEAST, NEAR = 3, 5, 8
 #: Independent walks, samples of a walk, steps in a sample.
 WALKS, SAMPLES, STEPS = 64, 4, 2
 #: Text bytes of items that one pass over the documents holds in memory.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
