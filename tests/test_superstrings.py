@@ -174,3 +174,21 @@ def test_strings_do_not_depend_on_partitioning(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", old)
     seen = test_strings_do_not_depend_on_partitioning.__dict__.setdefault("seen", got)
     assert got == seen
+
+
+def test_bounded_is_never_dearer_than_global(spark):
+    rnd = random.Random(0)
+    genome = "".join(rnd.choice("ACGT") for _ in range(200))
+    texts = [genome[i : i + 40] for i in range(0, 160, 9)]
+    source = seqs(spark, texts)
+
+    def measured(pieces):
+        r = superstrings.stats(superstrings.to_chunks(pieces, 6), 6).first()
+        return r.length, r.runs
+
+    plain = measured(superstrings.global_greedy(source, 6, True))
+    for penalty in (0, 12):
+        pieces = bounded(source, 6, True, penalty)
+        length, runs = measured(pieces)
+        assert length + penalty * runs <= plain[0] + penalty * plain[1]
+        assert brute.kmer_set([text(pieces)], 6, True, True) == brute.kmer_set(texts, 6, True)
