@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from kmerloom.llm import near
 from kmerloom.llm.components import components
 from kmerloom.llm.tables import whole
 from kmerloom.plans.runtime import cut
@@ -110,12 +111,14 @@ def near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
     return marked.join(named.select("fp", "root").join(low, "root"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, threshold: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: int = 2, width: int = 3, similarity: float | None = None) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Rows without doc_id stay. Repeated rows of the kept doc_id collapse to one.
+    With ``similarity`` documents link by the share of common shingles of ``width`` words, which
+    64 majority bits can't tell (0.8 is some ten bits), else by ``threshold`` bits of the fingerprint,
+    whose shingles have three words. Rows without doc_id stay. Repeated rows of the kept doc_id collapse to one.
     """
-    groups = near_duplicates(docs, threshold)
+    groups = near_duplicates(docs, threshold) if similarity is None else near.near_duplicates(docs, width, similarity)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return first.unionByName(docs.where("doc_id is null"))

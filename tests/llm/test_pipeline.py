@@ -78,3 +78,27 @@ def test_stages_take_an_empty_table(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, root)
         assert out.count() == 0
+
+
+def test_near_copies_from_a_similarity_of_four_fifths_go(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices(string.ascii_lowercase, k=6)) for _ in range(3000)]
+
+    def grams(text):
+        have = text.split()
+        return {tuple(have[i : i + 5]) for i in range(len(have) - 4)}
+
+    rows, alike = [], {}
+    for i in range(120):
+        base = rnd.choices(words, k=200)
+        copy = list(base)
+        # 5 to 60 % of the grams differ: similarity 0.4 to 0.95
+        for at in rnd.sample(range(200), 1 + i % 12):
+            copy[at] = copy[at] + "x"
+        a, b = " ".join(base), " ".join(copy)
+        rows += [(2 * i, a, "en", "s", 0), (2 * i + 1, b, "en", "s", 0)]
+        alike[2 * i + 1] = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    assert kept == set(range(0, 240, 2)) | {i for i, s in alike.items() if s < 0.8}
+    assert sum(0.8 <= s <= 0.9 for s in alike.values()) > 10 and min(alike.values()) < 0.6
