@@ -149,7 +149,8 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
 def learn_lexicon(labelled: DataFrame, entries: int = ENTRIES) -> Lexicon:
     """Words and stems whose share of toxic documents stands out beyond chance among all candidates.
 
-    Documents whose smallest word-triple hash is equal count once, so copies do not vote twice.
+    Documents whose smallest word-triple hash is equal count once, so copies do not vote twice. A word that
+    a stem covers is kept beside it where it may be misspelled, as stems match exact beginnings only.
     """
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))
 
@@ -174,13 +175,17 @@ def learn_lexicon(labelled: DataFrame, entries: int = ENTRIES) -> Lexicon:
     told = counted.where("2 * t >= n").withColumn("gain", gain).where(F.col("gain") >= 2 * math.log(many) + 6)
     rows = told.orderBy(F.desc("gain"), F.desc(F.length("unit")), "unit").limit(entries).collect()
     held: dict[str, tuple[float, int]] = {}
+    covered: dict[str, float] = {}
     for r in rows:
         text, stem = r["unit"].rstrip("*"), r["unit"].endswith("*")
         above = any(text[:k] + "*" in held for k in STEMS if k <= len(text))
         below = stem and any(h.startswith(text) and 20 * c >= 19 * r["t"] for h, (_, c) in held.items())
+        weight = math.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5)) - math.log(base / (1 - base))
         if not above and not below:
-            held[r["unit"]] = (math.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5)) - math.log(base / (1 - base)), r["t"])
-    return Lexicon({k: w for k, (w, _) in held.items()})
+            held[r["unit"]] = (weight, r["t"])
+        elif above and not stem and len(text) >= FUZZY_FROM:
+            covered[text] = weight
+    return Lexicon(covered | {k: w for k, (w, _) in held.items()})
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

@@ -151,3 +151,19 @@ def test_toxicity_is_learned_and_held_out(spark):
     bare = toxicity.query(docs, labels.where("false"))
     assert bare.where("predicted = 1").count() == 0 and bare.count() == len(rows)
     assert toxicity.query(docs.where("false"), labels).count() == 0
+
+
+def test_learned_words_under_a_stem_match_with_one_error(spark):
+    rnd = random.Random(4)
+    plain = ["".join(rnd.choices("bcdfghklmnprtvw", k=6)) for _ in range(400)]
+    bad = ["idiot", "stupid", "trashes", "pathetic", "worthless"]
+    rows = [(i, int(i % 2), " ".join(rnd.choices(plain, k=30) + ([bad[i // 2 % 5]] if i % 2 else []))) for i in range(400)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, toxic int, text string"))
+    assert any(e.endswith("*") for e in lexicon.entries)
+    for word in bad:
+        assert lexicon.match(word)[1] == 0
+        wrong = {word[:i] + "z" + word[i + 1 :] for i in range(len(word))}
+        wrong |= {word[:i] + word[i + 1 :] for i in range(len(word))}
+        wrong |= {word[:i] + "z" + word[i:] for i in range(len(word) + 1)}
+        wrong |= {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1) if i != len(word) // 2 - 1}
+        assert [w for w in wrong if lexicon.match(w) is None] == []
