@@ -11,8 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labels of a host and segments of a path that keys are made of at most; what is longer is judged by its shorter keys.
-LABELS, SEGMENTS = 8, 3
 #: Seconds of a bucket that intervals and captures are dealt by.
 BUCKET = 30 * 86400
 END = 1 << 40
@@ -28,16 +26,29 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys(url: Column) -> Column:
-    """Array of (rank, key), the most specific key with the largest rank."""
-    labels = F.split(host(url), r"\.")
-    n = F.least(F.size(labels), F.lit(LABELS))
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("rank"), F.array_join(F.slice(labels, -i, i), ".").alias("key")))
+def keys(url: Column, labels: list[int] | None = None, segments: list[int] | None = None) -> Column:
+    """Array of (rank, key), the most specific key with the largest rank; only keys of the given numbers of labels and of path segments, all without them."""
+    names = F.split(host(url), r"\.")
     parts = F.filter(F.split(path(url), "/"), lambda p: p != "")
-    m = F.least(F.size(parts), F.lit(SEGMENTS))
-    prefixes = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda i: F.struct((i + LABELS).alias("rank"), F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key"))))
+
+    def lengths(most: Column, wanted: list[int] | None) -> Column:
+        if wanted is None:
+            return F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.array(*map(F.lit, wanted)).cast("array<int>"), lambda i: i <= most)
+
+    domains = F.transform(lengths(F.size(names), labels), lambda i: F.struct(i.alias("rank"), F.array_join(F.slice(names, -i, i), ".").alias("key")))
+    prefixes = F.transform(lengths(F.size(parts), segments), lambda i: F.struct((i + F.size(names)).alias("rank"), F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")).alias("key")))
     none = F.array().cast("array<struct<rank:int,key:string>>")
-    return F.when(F.length(host(url)) > 0, F.concat(domains, F.coalesce(prefixes, none))).otherwise(none)
+    return F.when(F.length(host(url)) > 0, F.concat(domains, prefixes)).otherwise(none)
+
+
+def _listed(entries: DataFrame) -> tuple[list[int], list[int]]:
+    """Numbers of labels of the list's domains and of segments of its path prefixes; a few numbers, whatever the list's size."""
+    slashes = F.size(F.split("key", "/")) - 1
+    found = entries.where("key is not null").agg(
+        F.collect_set(F.when(slashes == 0, F.size(F.split("key", r"\.")))).alias("labels"), F.collect_set(F.when(slashes > 0, slashes)).alias("segments")
+    ).first()
+    return sorted(found["labels"]), sorted(found["segments"])
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -58,7 +69,7 @@ def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     has one row per key and bucket at most for each entry, so it can be split freely.
     """
     held = captures.select("id", "url", "at")
-    asked = held.where("at is not null and url is not null").distinct().select("url", "at", F.inline(keys(F.col("url")))).distinct()
+    asked = held.where("at is not null and url is not null").distinct().select("url", "at", F.inline(keys(F.col("url"), *_listed(entries)))).distinct()
     asked = asked.withColumn("bucket", F.expr(f"floor(at / {BUCKET})"))
     seen = captures.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
     low, high = (seen["low"] or 0), (seen["high"] or 0)

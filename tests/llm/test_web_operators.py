@@ -167,3 +167,12 @@ def test_learned_words_under_a_stem_match_with_one_error(spark):
         wrong |= {word[:i] + "z" + word[i:] for i in range(len(word) + 1)}
         wrong |= {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1) if i != len(word) // 2 - 1}
         assert [w for w in wrong if lexicon.match(w) is None] == []
+
+
+def test_long_hosts_and_paths_match_their_entries(spark):
+    deep, far = ".".join("abcdefghi") + ".example.com", "example.org/1/2/3/4/5"
+    captures = [(1, f"http://x.{deep}/", 10), (2, f"http://{far}/6?q", 10), (3, "http://example.org/1/2", 10), (4, "http://i.example.com/", 10)]
+    entries = [(deep, 0, True), ("example.com", 0, False), (far, 0, True), ("example.org/1", 0, False)]
+    out = urlfilter.judged(spark.createDataFrame(captures, "id long, url string, at long"), spark.createDataFrame(entries, "key string, since long, blocked boolean"))
+    got = {r["id"]: (r["key"], r["blocked"]) for r in out.collect()}
+    assert got == {1: (deep, True), 2: (far, True), 3: ("example.org/1", False), 4: ("example.com", False)}
