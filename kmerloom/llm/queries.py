@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kmerloom.llm import decontaminate, mixing, pii, repeats, sharding, simhash, toxicity, urlfilter, warc, winnow
+from kmerloom.llm import alignment, centroids, decontaminate, mixing, pii, repeats, sharding, simhash, token_files, toxicity, urlfilter, warc, winnow
 from kmerloom.llm.tables import table
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_url_asof": lambda spark, d: urlfilter.query(table(spark, d, "pages")),
     "op9_toxicity_lexicon": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_warc_salvage": lambda spark, d: warc.query(table(spark, d, "pages")),
+    "op11_centroid_dictionary": lambda spark, d: centroids.query(table(spark, d, "embeddings")),
+    "op12_token_files": lambda spark, d: token_files.query(table(spark, d, "documents")),
+    "op13_align_tokenizers": lambda spark, d: alignment.query(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op8_url_asof": urlfilter.SQL, "op10_warc_salvage": warc.SQL}
+ORACLES: dict[str, str] = {"op8_url_asof": urlfilter.SQL, "op10_warc_salvage": warc.SQL, "op11_centroid_dictionary": centroids.SQL}

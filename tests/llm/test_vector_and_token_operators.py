@@ -1,0 +1,255 @@
+import hashlib
+import random
+import string
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+
+from kmerloom.llm import alignment, centroids, token_files, vocab
+
+DOCS = "doc_id long, text string, source string, number long, ids string, h string, row int, pairs string, n_a int, value string"
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "s", 1, "clash", "clash", 2, "clash", 3, "clash") for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices(string.ascii_letters + "äßéñ", k=rnd.randint(1, 9))) for _ in range(120)]
+    plain = [" ".join(rnd.choices(words, k=rnd.randint(1, 90))) for _ in range(40)]
+    odd = [
+        "", None, " ", "  ", "a", " lead", "trail ", "two  spaces   three", "tab\tand\nline\r\nend", "it's we're I'LL don't", "<|endoftext|> in <|startoftext|>text", "<s> </s> <unk> <0x41>",
+        " no break　wide \u0085 next", "é Å composed ́ alone", "İstanbul ΣΑΣ ΟΔΟΣ", "日本語のテキスト 한국어 текст", "😀😃 👩‍👩‍👧 🇩🇪", "▁piece ▁", "\x00\x01 \x1c\x1f control",
+        "1234567890 3.14159 1,000", "x" * 5000, "word " * 4000, "no_space" * 900, " " * 700 + "far" + " " * 300, "ﬁ ligature Ⅷ ½", "mail@host.example, (see: §5)!?...", "﻿mark",
+    ]
+    return odd + plain + [plain[3]] * 5
+
+
+def vectors_of(spark, rows):
+    return spark.createDataFrame([(i, v, 7, "clash", 3) for i, v in rows], "vec_id long, embedding array<float>, cluster int, v string, dim int")
+
+
+def brute_clusters(rows, k=16, rounds=3):
+    kept = [(i, [int(np.floor(64.0 * x)) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and np.isfinite(x) for x in v)]
+    drawn = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))
+    cents = [v for _, v in drawn[:k]]
+
+    def assign():
+        out = []
+        for _, v in kept:
+            ds = [sum((a - b) ** 2 for a, b in zip(v, c)) for c in cents]
+            out.append((ds.index(min(ds)), min(ds)))
+        return out
+
+    for _ in range(rounds):
+        own = assign()
+        for c in range(len(cents)):
+            mine = [v for (_, v), (a, _) in zip(kept, own) if a == c]
+            if mine:
+                cents[c] = [sum(x) // len(mine) for x in zip(*mine)]
+    own, inertia = assign(), Counter()
+    for a, d in own:
+        inertia[a] += d
+    shas = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in cents]
+    return [(i, a, d, inertia[a], sum(inertia.values()), shas[a]) for (i, _), (a, d) in zip(kept, own)]
+
+
+def in_order(rows):
+    return sorted(map(tuple, rows), key=str)
+
+
+def test_clusters_equal_a_plain_count(spark):
+    rnd = random.Random(2)
+    rows = [(i, [float(np.float32(rnd.gauss(0, 0.3) + (i % 5) * (j % 3 == 0))) for j in range(64)]) for i in range(150)]
+    rows += [(200 + i, rows[7][1]) for i in range(60)] + [(7, rows[7][1]), (None, rows[9][1]), (None, [0.5] * 64)]
+    rows += [(300, None), (301, []), (302, [0.0] * 63), (303, [None] + [0.0] * 63), (304, [float("nan")] + [0.0] * 63), (305, [float("inf")] * 64), (306, [-1000.0] * 64), (307, [0.0] * 65)]
+    got = centroids.query(vectors_of(spark, rows))
+    assert got.columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    assert in_order(got.collect()) == in_order(brute_clusters(rows))
+    few = rows[:5] + [rows[0]]
+    assert in_order(centroids.query(vectors_of(spark, few)).collect()) == in_order(brute_clusters(few))
+    assert centroids.query(vectors_of(spark, [])).count() == 0 and centroids.query(vectors_of(spark, rows[-8:-2])).count() == 0
+    with pytest.raises(Exception, match="lies beyond"):
+        centroids.query(vectors_of(spark, [(1, [1e30] * 64)])).count()
+
+
+def test_clusters_equal_their_sql(spark):
+    rnd = random.Random(3)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(64)]) for i in range(80)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows] + [(90, [0.25] * 64), (91, [0.1] * 3)]
+    embeddings = pd.DataFrame({"vec_id": [i for i, _ in rows], "embedding": [np.array(v, dtype=np.float32) for _, v in rows]})
+    con = duckdb.connect()
+    con.register("embeddings", embeddings)
+    assert in_order(con.sql(centroids.SQL).fetchall()) == in_order(brute_clusters(rows)) == in_order(centroids.query(vectors_of(spark, rows)).collect())
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 64])
+def test_dictionaries_lose_nothing(width):
+    rng = np.random.default_rng(1)
+    rows = rng.integers(-3, 4, size=(500, 64)) * (1 << 25)
+    cents = rng.integers(-100, 100, size=(4, 64))
+    blocks = []
+    codes = np.empty((500, -(-64 // width)), dtype=np.int64)
+    for b in range(codes.shape[1]):
+        found, codes[:, b] = centroids.dictionary(rows[:, b * width : (b + 1) * width])
+        assert len(np.unique(found, axis=0)) == len(found) and (found[codes[:, b]] == rows[:, b * width : (b + 1) * width]).all()
+        blocks.append((b * width, found))
+    best, distance = centroids.nearest(codes, blocks, cents)
+    plain = ((rows[:, None, :] - cents[None]) ** 2).sum(axis=2)
+    assert (best == plain.argmin(axis=1)).all() and (distance == plain.min(axis=1)).all()
+
+
+@pytest.mark.parametrize("bits", [1, 3, 7, 8, 11, 16, 17, 24, 31, 32])
+def test_packing_is_an_exact_round_trip(bits):
+    ids = np.random.default_rng(bits).integers(0, 1 << bits, size=1003, dtype=np.uint64).astype(np.uint32)
+    data = token_files.pack(ids, bits)
+    assert len(data) == -(-len(ids) * bits // 8) and (token_files.unpack(data, len(ids), bits) == ids).all()
+    assert token_files.bits_of(1 << bits) == bits
+
+
+def brute_tokens(rows):
+    tok = vocab.tokenizer(vocab.path("word_bpe_49k.json"), plain_specials=False)
+    return [tok.encode(t or "", add_special_tokens=False).ids + [1] for _, t in rows]
+
+
+def test_token_files_hold_the_ids_of_whole_texts(spark, texts):
+    rows = [(1000 - 3 * i, t) for i, t in enumerate(texts)]
+    got = token_files.query(docs_of(spark, rows)).collect()
+    rows.sort()
+    start, want = 0, []
+    for (i, _), ids in zip(rows, brute_tokens(rows)):
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert in_order(got) == in_order(want)
+    assert token_files.query(docs_of(spark, [])).count() == 0
+
+
+def test_token_files_many_files_ties_and_random_access(spark, texts, tmp_path, monkeypatch):
+    rows = [(i % 17, t) for i, t in enumerate(texts)] + [(None, "b"), (None, "a")] + [(5, "same words here")] * 200
+    folder = str(tmp_path / "tokens")
+    token_files.write(docs_of(spark, rows), folder, vocab.path("word_bpe_49k.json"), file_text=4000)
+    files = [token_files.TokenFile(p.read_bytes()) for p in sorted((tmp_path / "tokens").glob("part-*")) if p.stat().st_size]
+    assert len(files) > 3 and [f.number for f in files] == sorted(f.number for f in files)
+    got = token_files.read(spark, folder).collect()
+    # one stream: gapless starts, ascending ids, nulls first; the documents themselves are those of the table
+    got.sort(key=lambda r: r["start"])
+    assert [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:i]) for i in range(len(got))]
+    named = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert named == sorted(named)
+    want = Counter((i, np.array(t, dtype="<u4").tobytes()) for (i, _), t in zip(rows, brute_tokens(rows)))
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in got) == want
+    assert all(r["ids_crc32"] == zlib.crc32(r["ids"]) for r in got)
+    stream = np.concatenate([f.ids(0, f.n_ids) for f in files])
+    assert stream.tobytes() == b"".join(bytes(r["ids"]) for r in got)
+    rnd = random.Random(1)
+    for f in files:
+        everything = f.ids(0, f.n_ids)
+        for _ in range(30):
+            a = rnd.randint(0, f.n_ids)
+            n = rnd.randint(0, f.n_ids - a)
+            assert (f.ids(a, n) == everything[a : a + n]).all()
+        with pytest.raises(IndexError):
+            f.ids(0, f.n_ids + 1)
+    with pytest.raises(ValueError):
+        token_files.TokenFile(b"x" * 100)
+
+
+def test_blocks_cut_a_stream_anywhere():
+    class Ctx:
+        @staticmethod
+        def partitionId():
+            return 3
+
+    import pyarrow as pa
+
+    words = " ".join("abcdefgh"[i % 8] for i in range(30000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None]), pa.array([words.encode()] * 3, pa.binary())], ["doc_id", "text"])
+    block, context = token_files.BLOCK, token_files.TaskContext
+    try:
+        token_files.BLOCK, token_files.TaskContext = 1024, type("T", (), {"get": staticmethod(lambda: Ctx)})
+        data = b"".join(bytes(v.as_py()) + b"\0" for b in token_files._files([batch], vocab.path("word_bpe_49k.json"), 1) for v in b.column(0))
+    finally:
+        token_files.BLOCK, token_files.TaskContext = block, context
+    held = token_files.TokenFile(data)
+    assert held.number == 3 and len(held.offsets) == -(-held.n_ids // 1024) and held.unnamed.tolist() == [False, False, True]
+    one = held.document(0)
+    assert one[-1] == 1 and (held.document(1) == one).all() and (held.document(2) == one).all()
+    assert (held.ids(1020, 2050) == one[1020:3070]).all()
+
+
+def brute_alignment(rows):
+    a_tok, b_tok = vocab.tokenizer(vocab.path("byte_bpe_50k.json"), True), vocab.sentence_pieces(vocab.path("piece_bpe_32k.model"))
+    letters, per_doc, total = vocab.byte_level(), [], Counter()
+    for i, text in rows:
+        data = (" " + (text or "")).encode()
+        a = a_tok.encode(" " + text, add_special_tokens=False) if text else None
+        a_parts = [(n, bytes(letters[c] for c in a_tok.id_to_token(n))) for n in a.ids] if text else []
+        b_parts = []
+        for n in b_tok.encode(text) if text else []:
+            p = b_tok.id_to_piece(n)
+            b_parts.append((n, bytes([int(p[3:5], 16)]) if b_tok.is_byte(n) else p.replace("▁", " ").encode()))
+        if not text or b"".join(p for _, p in a_parts) != data or b"".join(p for _, p in b_parts) != data:
+            per_doc.append((i, 0, 0, 0, Counter(), ""))
+            continue
+        spans = []
+        for parts in (a_parts, b_parts):
+            at, own = 0, []
+            for n, p in parts:
+                own.append((n, at, at + len(p)))
+                at += len(p)
+            spans.append(own)
+        ends = sorted({e for *_, e in spans[0]} & {e for *_, e in spans[1]})
+        low, told = 0, []
+        for e in ends:
+            told.append("|".join(",".join(str(n) for n, s, t in own if low <= s and t <= e) for own in spans))
+            low = e
+        links = Counter()
+        for n, s, t in spans[0]:
+            for m, u, v in spans[1]:
+                if max(s, u) < min(t, v):
+                    links[n, m] += 1
+        total.update(links)
+        per_doc.append((i, len(a_parts), len(b_parts), len(ends), links, hashlib.sha256(";".join(told).encode()).hexdigest()))
+    most = defaultdict(int)
+    for (n, m), c in total.items():
+        most[m] = max(most[m], c)
+    out = []
+    for i, n_a, n_b, groups, links, sha in per_doc:
+        best = sum(c for (n, m), c in links.items() if total[n, m] == most[m])
+        out.append((i, n_a, n_b, groups, sum(links.values()), best, sum(c * total[p] for p, c in links.items()), sha))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_pairs", [alignment.BROADCAST_PAIRS, 0])
+def test_alignment_equals_a_plain_count(spark, texts, broadcast_pairs):
+    rows = [(None if i == 33 else i % 60, t) for i, t in enumerate(texts) if len(t or "") < 3000]
+    got = alignment.query(docs_of(spark, rows), broadcast_pairs)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    want = brute_alignment(rows)
+    assert in_order(got.collect()) == in_order(want)
+    assert sum(w[1] == 0 for w in want) >= 2 and any(w[4] > w[3] for w in want)
+    assert alignment.query(docs_of(spark, []), broadcast_pairs).count() == 0
+
+
+def test_stretches_encode_like_whole_texts(texts):
+    place = vocab.path("byte_bpe_50k.json"), vocab.path("piece_bpe_32k.model")
+    aligner, tok = alignment.Aligner(*place), vocab.tokenizer(place[0], True)
+    for text in filter(None, texts):
+        whole_ids = tok.encode(" " + text, add_special_tokens=False).ids, aligner.b.encode(text)
+        parts = vocab.GAP.split(text)
+        assert sum((tok.encode(" " + p, add_special_tokens=False).ids for p in parts), []) == whole_ids[0]
+        assert sum((aligner.b.encode(p) for p in parts), []) == whole_ids[1]
+
+
+def test_memory_of_stretches_forgets_but_does_not_change(monkeypatch):
+    monkeypatch.setattr(vocab, "HELD", 3)
+    memory = vocab.Memory(lambda words: [w.upper() for w in words])
+    for words in (["a", "b", "a"], ["c", "d"], ["a", "e", "e", "f"], []):
+        assert memory.of(words) == [w.upper() for w in words]
+    assert len(memory.held) <= 3
