@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators import bound, bounded, extract, masks, superstrings
 from kmerloom.plans.runtime import cut
-from kmerloom.sources import fasta
+from kmerloom.sources import fasta, records
 from kmerloom.streaming.superstring import streaming_superstring
 
 # Names of constructors and mask goals, older names, and the largest k of the two that pack k-mers.
@@ -45,7 +45,7 @@ def parse(argv: list[str]) -> argparse.Namespace:
     """Options of one run, checked rule by rule; older names are replaced."""
     optimize = argv[:1] == ["optimize"]
     parser = argparse.ArgumentParser(prog="kmerloom", description="k-mer sets as masked superstrings; 'optimize' first: a new mask for a superstring")
-    parser.add_argument("-p", action="append", help="FASTA input, plain or gzip (a superstring with optimize)")
+    parser.add_argument("-p", action="append", help="FASTA or FASTQ input, plain, gzip or xz (a superstring with optimize)")
     parser.add_argument("-k", type=int, help="length of k-mers")
     parser.add_argument("-a", default="ones" if optimize else "global", help=f"constructor ({', '.join(CONSTRUCTORS)}) or goal ({', '.join(GOALS[:4])})")
     parser.add_argument("-o", help="output folder; without it the first lines are printed")
@@ -70,7 +70,7 @@ def pieces(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
         chunked = cut(superstrings.to_chunks(fasta.read_superstring(spark, o.p), o.k))
         again = masks.apply_mask(chunked, masks.optimize(chunked, o.k, o.c, o.a), o.k)
         return again.select(F.col("rec").alias("part"), F.col("off").alias("rank"), "piece")
-    source = cut(superstrings.to_chunks(fasta.read_pieces(spark, o.p)[1], o.k))
+    source = cut(superstrings.to_chunks(records.read_records(spark, o.p)[1], o.k))
     if extract.windows(source, o.k).isEmpty():
         raise Refused("The input has no k-mers.")
     if o.a == "streaming":
@@ -86,7 +86,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
     try:
         o = parse(argv)
         if o.l:
-            source = superstrings.to_chunks(fasta.read_pieces(spark, o.p)[1], o.k)
+            source = superstrings.to_chunks(records.read_records(spark, o.p)[1], o.k)
             print(bound.lower_bound(cut(extract.kmers(source, o.k, o.c)), o.k, o.c).first()[0])
             return 0
         made = pieces(spark, o)

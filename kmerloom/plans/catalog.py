@@ -121,6 +121,25 @@ def fasta_scan(spark, sf_dir):
     )
 
 
+@register("fastq_scan", f"""WITH t AS (SELECT doc_id, source, translate(hex(text), '0123456789ABCDEF', '{SEP}') AS seq FROM documents)
+SELECT 'doc' || doc_id AS name, source AS comment, doc_id % 3 <> 0 AS fastq, length(seq) AS n_bases, md5(seq) AS digest FROM t""")
+def fastq_scan(spark, sf_dir):
+    """The documents written as FASTQ and FASTA records of wrapped lines, whose qualities look like headers, and read again."""
+    from kmerloom.plans.runtime import scratch_path
+    from kmerloom.sources.records import read_records
+
+    hexed, wrap = F.hex("text"), lambda x: F.regexp_replace(x, "(.{50})(?=.)", "$1\n")
+    seq, quality = F.translate(hexed, "0123456789ABCDEF", SEP), F.translate(hexed, "0123456789ABCDEF", "@>+@>+@>+@>+IIII")
+    head = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(" "), F.col("source"), F.lit("\n"), wrap(seq))
+    record = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(">"), head)).otherwise(F.concat(F.lit("@"), head, F.lit("\n+\n"), wrap(quality)))
+    path = scratch_path(spark)
+    table(spark, sf_dir, "documents").select(record.alias("value")).write.text(path)
+    heads, body = read_records(spark, path)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "piece"))), lambda x: x["piece"]), "")
+    r = heads.join(body.groupBy(F.col("part").alias("rec")).agg(joined.alias("seq")), "rec", "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+    return r.select("name", "comment", "fastq", F.length("seq").cast("long").alias("n_bases"), F.md5("seq").alias("digest"))
+
+
 @register("seq_prefix", f"SELECT rec, left(seq, 1000) AS prefix FROM ({seq_sql('documents')})")
 def seq_prefix(spark, sf_dir):
     return dna(spark, sf_dir, "documents").select("rec", F.left("seq", F.lit(1000)).alias("prefix"))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from kmerloom import cli
@@ -41,3 +43,24 @@ def test_construct_then_optimize(spark, tmp_path, capsys):
     assert cli.run(spark, f"-p {tmp_path}/none.fa -k 4".split()) == 1
     assert cli.run(spark, f"-p {tmp_path}/a.fa -k 4 -c -l".split()) == 0
     assert capsys.readouterr().out.strip().isdigit()
+
+
+def test_many_part_files_and_fastq(spark, tmp_path):
+    """Constructor, optimizer and decoding over eight files, from FASTQ input."""
+    rnd = random.Random(6)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(300)) for _ in range(30)]
+    (tmp_path / "a.fq").write_text("".join(f"@r{i}\n{s[:120]}\n{s[120:]}\n+\n@{'I' * 299}\n" for i, s in enumerate(seqs)))
+    truth = brute.kmer_set(seqs, 9, True)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        assert cli.run(spark, f"-p {tmp_path}/a.fq -k 9 -c -a global -o {tmp_path}/made".split()) == 0
+        assert len(list((tmp_path / "made").glob("part-*"))) > 1
+        assert cli.run(spark, f"optimize -p {tmp_path}/made -k 9 -c -a ones -o {tmp_path}/again".split()) == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name in ("made", "again"):
+        rows = fasta.read_superstring(spark, f"{tmp_path}/{name}").orderBy("rank").collect()
+        assert brute.kmer_set(["".join(r.piece for r in rows)], 9, True, True) == truth
