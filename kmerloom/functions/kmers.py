@@ -97,6 +97,14 @@ class Packed:
     def prefix(self, x: Column, n: int, d: int) -> Column:
         return F.shiftrightunsigned(x, 2 * (n - d))
 
+    def suffix_at(self, x: Column, d: Column) -> Column:
+        """``suffix`` with a column for d."""
+        return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), 2 * d) - 1)
+
+    def prefix_at(self, x: Column, n: int, d: Column) -> Column:
+        """``prefix`` with a column for d."""
+        return F.call_function("shiftrightunsigned", x, 2 * (F.lit(n) - d))
+
     def rc(self, x: Column, n: int) -> Column:
         if n == 0:
             return x
@@ -129,6 +137,12 @@ class Text:
     def prefix(self, x: Column, n: int, d: int) -> Column:
         return F.substring(x, 1, d)
 
+    def suffix_at(self, x: Column, d: Column) -> Column:
+        return F.right(x, d)
+
+    def prefix_at(self, x: Column, n: int, d: Column) -> Column:
+        return F.left(x, d)
+
     def rc(self, x: Column, n: int) -> Column:
         return reverse_complement(x)
 

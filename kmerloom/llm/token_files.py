@@ -15,13 +15,16 @@ as an id has bits, so any range of ids is unpacked from its own bytes alone, fou
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +36,13 @@ from kmerloom.plans.runtime import cut, scratch_folder
 MAGIC = b"TOKBITS1"
 #: Ids per block; a multiple of eight.
 BLOCK = 1 << 16
+#: Bytes of text whose words are looked up at once.
+TOGETHER = 1 << 19
 #: UTF-8 bytes of text that a file stands for on average.
 FILE_TEXT = 32 << 20
 _TRAILER = struct.Struct("<QQQQII8s")
+#: The letters that a byte-level vocabulary writes for bytes.
+_LETTERS = {b: letter for letter, b in vocab.byte_level().items()}
 
 
 def bits_of(size: int) -> int:
@@ -100,20 +107,78 @@ class Encoder:
     """Ids of whole texts from a tokenizer file, without special tokens around them.
 
     Its pieces never cross white space, so a text's words are encoded alone. Words are told apart at
-    ASCII white space only; names of special tokens inside texts are special tokens, as the tokenizer does by itself.
+    ASCII white space only; names of special tokens inside texts are special tokens, as the tokenizer does by itself. A word
+    of printable Latin letters is cut by the tokenizer's own pattern and its parts, which many words share, go to the model;
+    other words, and all words of a tokenizer without such a pattern, go through the whole tokenizer.
     """
 
     def __init__(self, place: str):
         self.tokenizer = vocab.tokenizer(place, plain_specials=False)
         self.bits = bits_of(self.tokenizer.get_vocab_size())
-        self.memory = vocab.Memory(self._fresh)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pattern, self.model = _word_pattern(place), self.tokenizer.model
+        # whether a word of letters alone is one part
+        every = "".join(c for c in map(chr, range(ord(vocab.LATIN_END))) if c.isalpha())
+        self.letters_stay = self.pattern is not None and self.pattern.findall(every) == [every]
+        self.memory, self.parts = vocab.Memory(self._fresh), vocab.Memory(self._parts)
 
-    def _fresh(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS) for p in parts]
+        return [array("I", [t.id for t in self.model.tokenize(p)]).tobytes() for p in spelled]
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(self.memory.of(text.split()))
+    def _fresh(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        known: dict[int, bytes] = {}
+        if self.pattern:
+            named = self.added if any(t in x for t in self.added for x in ["\n".join(texts)]) else []
+            plain = [i for i, t in enumerate(texts) if t.isprintable() and (t.isascii() or max(t) < vocab.LATIN_END) and not any(n in t for n in named)]
+            joined = " ".join([texts[i] for i in plain])
+            normal = (self.tokenizer.normalizer.normalize_str(joined) if self.tokenizer.normalizer else joined).split(" ")
+            if len(normal) == len(plain):
+                letters = [i for i, t in zip(plain, normal, strict=True) if self.letters_stay and t.isalpha()]
+                known.update(zip(letters, self.parts.of([t for t in normal if self.letters_stay and t.isalpha()]), strict=True))
+                mixed = [(i, self.pattern.findall(t)) for i, t in zip(plain, normal, strict=True) if not (self.letters_stay and t.isalpha())]
+                ids, at = self.parts.of([p for _, ps in mixed for p in ps]), 0
+                for i, ps in mixed:
+                    known[i] = b"".join(ids[at : at + len(ps)])
+                    at += len(ps)
+        rest = [i for i in range(len(words)) if i not in known]
+        if rest:
+            found = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+            known.update((i, array("I", e.ids).tobytes()) for i, e in zip(rest, found, strict=True))
+        return [known[i] for i in range(len(words))]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text as u32."""
+        words = [t.split() for t in texts]
+        found, out, at = self.memory.of([w for ws in words for w in ws]), [], 0
+        for ws in words:
+            out.append(b"".join(found[at : at + len(ws)]))
+            at += len(ws)
+        return out
+
+
+def _word_pattern(place: str):
+    """The pattern by which a byte-level tokenizer cuts words, if that is all it does before its model; else None."""
+    with open(place, encoding="utf-8") as f:
+        steps = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kinds = [x["type"] for x in steps]
+    if kinds != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[0]["behavior"] != "Removed" or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return None
+    return regex.compile(steps[0]["pattern"]["Regex"])
+
+
+def _groups(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Neighbouring texts, some ``TOGETHER`` bytes at a time or one longer text."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text.as_buffer().to_pybytes())
+        size += len(group[-1])
+        if size >= TOGETHER:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def _files(batches: Iterator[pa.RecordBatch], place: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -129,12 +194,12 @@ def _files(batches: Iterator[pa.RecordBatch], place: str, end_id: int) -> Iterat
 
     for batch in batches:
         names += batch.column(0).to_pylist()
-        for text in batch.column(1):
+        for texts in _groups(batch.column(1)):
             if not at:
                 yield segment(MAGIC)
-            ids = encoder.ids(text.as_buffer().to_pybytes()) + end
-            counts.append(len(ids) // 4)
-            held += ids
+            found = encoder.ids(texts)
+            counts += [len(ids) // 4 + 1 for ids in found]
+            held += b"".join([ids + end for ids in found])
             whole_blocks = len(held) // (4 * BLOCK)
             for b in range(whole_blocks):
                 offsets.append(at)

@@ -7,15 +7,19 @@ task encodes each distinct stretch once and keeps a bounded memory of them.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable
 
-#: Stretches whose results a worker keeps; more only cost time.
-HELD = 200_000
+#: Stretches of a generation; a worker keeps the results of two. Fewer only cost time.
+HELD = 150_000
 #: Longer stretches are encoded each time, so that the memory stays small.
 LONG = 200
 
+#: First code point after the Latin blocks, whose letters all tokenizers class alike.
+LATIN_END = "\u0250"
+
 #: A single space between two other characters: where byte-level and sentence-piece tokenizers both cut.
 GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -28,23 +32,27 @@ def path(name: str) -> str:
 
 
 class Memory:
-    """Results of stretches, each computed with others of its batch."""
+    """Results of stretches, each computed with others of its batch.
+
+    Two generations are kept: what is not asked for again while a new one fills up is forgotten.
+    """
 
     def __init__(self, compute: Callable[[list], Iterable]):
-        self.compute, self.held = compute, {}
+        self.compute, self.held, self.older = compute, {}, {}
 
     def of(self, wanted: list) -> list:
         """Results of the stretches in order."""
-        held = self.held
-        found = list(map(held.get, wanted))
+        found = list(map(self.held.get, wanted))
         if None not in found:
             return found
-        fresh = list(dict.fromkeys(w for w, r in zip(wanted, found, strict=True) if r is None))
-        new = dict(zip(fresh, self.compute(fresh), strict=True))
+        missed = dict.fromkeys([w for w, r in zip(wanted, found, strict=True) if r is None])
+        new = {w: r for w in missed if (r := self.older.get(w)) is not None}
+        fresh = [w for w in missed if w not in new]
+        new.update(zip(fresh, self.compute(fresh), strict=True))
         found = [new[w] if r is None else r for w, r in zip(wanted, found, strict=True)]
-        if len(held) + len(new) > HELD:
-            held.clear()
-        held.update((w, r) for w, r in new.items() if len(w) <= LONG)
+        if len(self.held) + len(new) > HELD:
+            self.held, self.older = {}, self.held
+        self.held.update((w, r) for w, r in new.items() if len(w) <= LONG)
         return found
 
 
@@ -81,3 +89,24 @@ def byte_level() -> dict[str, int]:
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     rest = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def rank_encoding(place: str):
+    """A byte-level tokenizer file as ranks, or None if its merges and ids do not come in one order.
+
+    The ids of merged tokens have to follow the 256 single bytes in the order of the merges; then the
+    least rank is the first merge, and both ways cut words alike.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(place, encoding="utf-8") as f:
+        stated = json.load(f)
+    model, step = stated["model"], stated.get("pre_tokenizer") or {}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+    plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step["add_prefix_space"] and not stated.get("normalizer")
+    if not plain or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+        return None
+    letters = byte_level()
+    ranks = {bytes(letters[c] for c in name): i for name, i in model["vocab"].items() if i < 256 + len(merges)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.functions.kmers import PACKED_MAX_K, canonical, codec
+from kmerloom.functions.kmers import PACKED_MAX_K, codec, decode
 
 CHUNK = 1024  # windows per chunk of a long sequence
 _SLICE = 256  # chunks handled by one vectorised step
@@ -50,8 +50,46 @@ def _pack(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return fwd, rev
 
 
+def word_sizes(k: int) -> list[int]:
+    """Letters of the LONG words that hold a k-mer, first letters first: all words are full but the last."""
+    return [PACKED_MAX_K] * (k // PACKED_MAX_K) + ([k % PACKED_MAX_K] if k % PACKED_MAX_K else [])
+
+
+def _words(codes: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The words of the forward and of the reverse-complement k-mer starting at each index."""
+    n, sizes = len(codes) - k + 1, word_sizes(k)
+    packs, at = {size: _pack(codes, size) for size in set(sizes)}, 0
+    fwd, rev = [], []
+    for size in sizes:
+        fwd.append(packs[size][0][at : at + n])
+        rev.append(packs[size][1][k - at - size : k - at - size + n])
+        at += size
+    return fwd, rev
+
+
+def _before(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether k-mer a sorts before k-mer b, index by index."""
+    out, tie = np.zeros(len(a[0]), bool), np.ones(len(a[0]), bool)
+    for x, y in zip(a, b, strict=True):
+        out |= tie & (x < y)
+        tie &= x == y
+    return out
+
+
+def _counted(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Distinct k-mers of a slice and how often each occurs, as columns."""
+    if len(words) == 1:
+        return list(np.unique(words[0], return_counts=True))
+    order = np.lexsort(words[::-1])
+    words = [w[order] for w in words]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([w[1:] != w[:-1] for w in words])
+    first = np.flatnonzero(new)
+    return [*[w[first] for w in words], np.diff(np.append(first, len(order)))]
+
+
 def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
-    """Per slice of chunks: rec, 1-based position, forward, reverse word, starts-upper flag."""
+    """Per slice of chunks: rec, 1-based position, forward, reverse words, starts-upper flag."""
     for batch in batches:
         for lo in range(0, batch.num_rows, _SLICE):
             part = batch.slice(lo, _SLICE)
@@ -69,60 +107,61 @@ def _scan(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
             ok = np.flatnonzero((bad[k:] == bad[:m]) & (np.repeat(ends, lens)[:m] - at >= k))
             if not len(ok):
                 continue
-            fwd, rev = _pack(codes, k)
+            fwd, rev = _words(codes, k)
             row = np.repeat(np.arange(len(pieces)), lens)[ok]
             pos = off[row] + ok - (ends - lens)[row] + 1
-            yield rec[row], pos, fwd[ok], rev[ok], data[ok] < 97
+            yield rec[row], pos, [w[ok] for w in fwd], [w[ok] for w in rev], data[ok] < 97
 
 
-def windows(seqs: DataFrame, k: int, canonical_form: bool = False) -> DataFrame:
-    """All valid windows (rec, pos, kmer, rev, up): pos is 1-based, ``rev`` tells that the
-    canonical form is the reverse strand, ``up`` that the first letter is upper case.
+def word_names(k: int) -> list[str]:
+    return [f"w{i}" for i in range(len(word_sizes(k)))]
 
-    Accepts sequences (rec, seq) or their chunks (rec, off, piece)."""
+
+def from_words(k: int) -> Column:
+    """The k-mer in codec form from its words: packed k-mers are their only word."""
+    names = word_names(k)
+    return F.col(names[0]) if len(names) == 1 else F.concat(*[decode(F.col(n), size) for n, size in zip(names, word_sizes(k), strict=True)])
+
+
+def word_windows(seqs: DataFrame, k: int, canonical_form: bool = False) -> DataFrame:
+    """``windows`` with the k-mer as LONG words w0, w1, ..., whose order is that of the k-mers, for any k."""
     pieces = seqs if "piece" in seqs.columns else chunks(seqs, k)
-    if k > PACKED_MAX_K:
-        return _text_windows(pieces, k, canonical_form)
+    names = word_names(k)
 
     def run(batches):
         for rec, pos, fwd, rev, up in _scan(batches, k):
-            flip = (rev < fwd) if canonical_form else np.zeros(len(fwd), bool)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rec), pa.array(pos), pa.array(np.where(flip, rev, fwd)), pa.array(flip), pa.array(up)],
-                ["rec", "pos", "kmer", "rev", "up"],
-            )
+            flip = _before(rev, fwd) if canonical_form else np.zeros(len(pos), bool)
+            words = [np.where(flip, r, f) for f, r in zip(fwd, rev, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rec, pos, *words, flip, up)], ["rec", "pos", *names, "rev", "up"])
 
     pieces = pieces.select("rec", "off", F.col("piece").cast("binary"))
-    return pieces.mapInArrow(run, "rec long, pos long, kmer long, rev boolean, up boolean")
+    return pieces.mapInArrow(run, f"rec long, pos long, {', '.join(f'{n} long' for n in names)}, rev boolean, up boolean")
 
 
-def _text_windows(pieces: DataFrame, k: int, canonical_form: bool) -> DataFrame:
-    piece = pieces.withColumn("piece", F.col("piece").cast("string"))
-    at = piece.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("piece") - k + 1)))
-    w = at.select("rec", (F.col("off") + F.col("i")).alias("pos"), F.substring("piece", F.col("i"), F.lit(k)).alias("w"))
-    w = w.where(F.col("w").rlike(f"^[ACGTacgt]{{{k}}}$"))
-    w = w.select("rec", "pos", F.upper("w").alias("w"), F.left("w", F.lit(1)).rlike("[ACGT]").alias("up"))
-    kmer = canonical(F.col("w")) if canonical_form else F.col("w")
-    return w.select("rec", "pos", kmer.alias("kmer"), (kmer < F.col("w")).alias("rev"), "up")
+def windows(seqs: DataFrame, k: int, canonical_form: bool = False) -> DataFrame:
+    """All valid windows (rec, pos, kmer, rev, up): pos is 1-based, ``rev`` tells that the
+    canonical form is the reverse strand, ``up`` that the first letter is upper case.
+
+    Accepts sequences (rec, seq) or their chunks (rec, off, piece)."""
+    return word_windows(seqs, k, canonical_form).select("rec", "pos", from_words(k).alias("kmer"), "rev", "up")
 
 
 def kmer_counts(seqs: DataFrame, k: int, canonical_form: bool = False, case_sensitive: bool = False) -> DataFrame:
     """(kmer, n): how often each k-mer occurs; ``case_sensitive`` counts only windows
-    that start with an upper-case letter, which decodes a masked superstring."""
+    that start with an upper-case letter, which decodes a masked superstring. Long k-mers are
+    counted as LONG words and become text once each."""
     pieces = seqs if "piece" in seqs.columns else chunks(seqs, k)
-    if k > PACKED_MAX_K:
-        w = _text_windows(pieces, k, canonical_form)
-        w = w.where("up") if case_sensitive else w
-        return w.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+    names = word_names(k)
 
     def run(batches):
         for _, _, fwd, rev, up in _scan(batches, k):
-            word = np.minimum(fwd, rev) if canonical_form else fwd
-            word, n = np.unique(word[up] if case_sensitive else word, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n.astype(np.int64))], ["kmer", "n"])
+            flip = _before(rev, fwd) if canonical_form else np.zeros(len(up), bool)
+            words = [np.where(flip, r, f) for f, r in zip(fwd, rev, strict=True)]
+            columns = _counted([w[up] for w in words] if case_sensitive else words)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], [*names, "n"])
 
-    partial = pieces.select("rec", "off", F.col("piece").cast("binary")).mapInArrow(run, "kmer long, n long")
-    return partial.groupBy("kmer").agg(F.sum("n").alias("n"))
+    partial = pieces.select("rec", "off", F.col("piece").cast("binary")).mapInArrow(run, f"{', '.join(f'{n} long' for n in names)}, n long")
+    return partial.groupBy(*names).agg(F.sum("n").alias("n")).select(from_words(k).alias("kmer"), "n")
 
 
 def kmers(seqs: DataFrame, k: int, canonical_form: bool = False, case_sensitive: bool = False) -> DataFrame:

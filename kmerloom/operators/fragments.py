@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import PACKED_MAX_K, codec, place, unplace
-from kmerloom.operators.extract import CHUNK, windows
+from kmerloom.operators.extract import CHUNK, from_words, word_names, word_windows
 from kmerloom.plans.runtime import cut
 
 
 def first_occurrences(seqs: DataFrame, k: int, complements: bool) -> DataFrame:
     """(rec, pos, kmer) of the windows that show a k-mer for the first time; kmer as read."""
-    w = windows(seqs, k, complements)
-    first = w.groupBy("kmer").agg(F.min(place(F.col("rec"), F.col("pos"), F.col("rev"))).alias("o"))
+    w = word_windows(seqs, k, complements)
+    first = w.groupBy(*word_names(k)).agg(F.min(place(F.col("rec"), F.col("pos"), F.col("rev"))).alias("o")).select(from_words(k).alias("kmer"), "o")
     rec, pos, back = unplace(F.col("o"))
     return first.select(rec.alias("rec"), pos.alias("pos"), F.when(back, codec(k).rc(F.col("kmer"), k)).otherwise(F.col("kmer")).alias("kmer"))
 

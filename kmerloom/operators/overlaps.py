@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import codec
-from kmerloom.plans.runtime import cut, cut_counted
+from kmerloom.operators.prefixes import longest_matches
+from kmerloom.plans.runtime import cut
 
 
 def overlap_pairs(kmer_set: DataFrame, k: int, d: int) -> DataFrame:
@@ -23,49 +24,14 @@ def overlap_pairs(kmer_set: DataFrame, k: int, d: int) -> DataFrame:
 
 def best_overlaps(kmer_set: DataFrame, k: int) -> DataFrame:
     """(src, dst, overlap): the longest overlap (1..k-1) of each k-mer with another one, the
-    smallest partner on ties.
-
-    Depth by depth from k-1 down; a k-mer leaves as soon as it has a partner, so few reach the
-    short words that many k-mers share. Prefixes are reduced to the two smallest k-mers per word.
-    """
-    c, x = codec(k), F.col("kmer")
-    open_, n = cut_counted(kmer_set.select(x.alias("src")))
-    found = None
-    for d in range(k - 1, 0, -1):
-        if n == 0:
-            break
-        heads = _two_smallest(kmer_set.select("kmer", c.prefix(x, k, d).alias("w")))
-        dst = F.when(F.col("first") != F.col("src"), F.col("first")).otherwise(F.col("second"))
-        tails = open_.select("src", c.suffix(F.col("src"), d).alias("w"))
-        hit = cut(tails.join(heads, "w").select("src", dst.alias("dst"), F.lit(d).alias("overlap")).where("dst is not null"))
-        found = hit if found is None else found.unionByName(hit)
-        open_, n = cut_counted(open_.join(hit, "src", "left_anti"))
-    none = open_.where("false").select("src", F.col("src").alias("dst"), F.lit(0).alias("overlap"))
-    return none if found is None else found
-
-
-def _two_smallest(words: DataFrame) -> DataFrame:
-    """(w, first, second): the two smallest k-mers of each word, by two plain minima."""
-    first = words.groupBy("w").agg(F.min("kmer").alias("first"))
-    rest = words.join(first, "w").where("kmer > first")
-    second = rest.groupBy("w").agg(F.min("kmer").alias("second"))
-    return first.join(second, "w", "left")
+    smallest partner on ties; k-mers without one are left out."""
+    best = longest_matches(kmer_set, k, other=True).where("depth > 0")
+    return best.select(F.col("kmer").alias("src"), F.col("first").alias("dst"), F.col("depth").alias("overlap"))
 
 
 def failure_links(kmer_set: DataFrame, k: int) -> DataFrame:
-    """(kmer, depth): longest proper suffix of the k-mer that is a prefix of any k-mer; settled k-mers leave the search."""
-    c, x = codec(k), F.col("kmer")
-    open_, n = cut_counted(kmer_set.select("kmer"))
-    found = None
-    for d in range(k - 1, 0, -1):
-        if n == 0:
-            break
-        heads = kmer_set.select(c.prefix(x, k, d).alias("w")).distinct()
-        hit = cut(open_.select("kmer", c.suffix(x, d).alias("w")).join(heads, "w", "left_semi").select("kmer", F.lit(d).alias("depth")))
-        found = hit if found is None else found.unionByName(hit)
-        open_, n = cut_counted(open_.join(hit, "kmer", "left_anti"))
-    rest = open_.select("kmer", F.lit(0).alias("depth"))
-    return rest if found is None else found.unionByName(rest)
+    """(kmer, depth): longest proper suffix of the k-mer that is a prefix of any k-mer."""
+    return longest_matches(kmer_set, k, other=False).select("kmer", "depth")
 
 
 def prefix_ranges(probe: DataFrame, kmer_set: DataFrame, k: int, d: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from kmerloom.functions.kmers import codec
 from kmerloom.operators.extract import CHUNK, windows
 from kmerloom.operators.fragments import first_occurrences
+from kmerloom.plans.runtime import cut
 
 
 def streaming_superstring(seqs: DataFrame, k: int, complements: bool = True) -> DataFrame:
@@ -17,7 +19,11 @@ def streaming_superstring(seqs: DataFrame, k: int, complements: bool = True) ->
     it, so each first occurrence emits its own letters up to the next one.  Windows run per
     chunk; the first positions of a chunk are also shown, as ghosts, to the chunk before.
     """
-    new = first_occurrences(seqs, k, complements)
+    return render_first(first_occurrences(seqs, k, complements), k)
+
+
+def render_first(new: DataFrame, k: int) -> DataFrame:
+    """(rec, pos, kmer) of first occurrences -> (rec, pos, piece)."""
     chunk = F.expr(f"pos div {CHUNK}")
     near_start = F.expr(f"pos % {CHUNK} < {k} and pos >= {CHUNK}")
     spots = new.withColumn(
@@ -33,6 +39,36 @@ def streaming_superstring(seqs: DataFrame, k: int, complements: bool = True) ->
     return spots.select("rec", "pos", piece.alias("piece"))
 
 
+def write_stream(seqs: DataFrame, k: int, folder: str, complements: bool = True) -> StreamingQuery:
+    """Streaming (rec, seq) -> the superstring of all records so far, in ``folder``, trigger by trigger.
+
+    Every trigger takes the records that have arrived. A k-mer is a one where it is seen first: in an earlier trigger, or at
+    the smallest (rec, pos) of its own. The k-mers seen so far are the state; they lie as one table per trigger under
+    ``folder/seen``, and each trigger writes ``folder/pieces/trigger=<n>`` (rec, pos, piece). Both are overwritten
+    if a trigger is run again after a failure, so nothing is counted twice. Concatenating the pieces by (trigger, rec, pos)
+    gives the superstring; where records arrive in the order of rec, its rows are those of ``streaming_superstring``.
+    """
+    def take(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = cut(first_occurrences(batch, k, complements))
+        key = F.least(F.col("kmer"), codec(k).rc(F.col("kmer"), k)) if complements else F.col("kmer")
+        new = new.withColumn("key", key)
+        # triggers before this one only: a trigger that is run again does not meet its own k-mers
+        if number:
+            seen = spark.read.schema(new.select("key").schema).parquet(*[f"{folder}/seen/trigger={i}" for i in range(number)])
+            new = cut(new.join(seen, "key", "left_anti"))
+        new.select("key").write.mode("overwrite").parquet(f"{folder}/seen/trigger={number}")
+        render_first(new.drop("key"), k).write.mode("overwrite").parquet(f"{folder}/pieces/trigger={number}")
+
+    writer = seqs.select("rec", "seq").writeStream.foreachBatch(take).trigger(availableNow=True)
+    return writer.option("checkpointLocation", f"{folder}/checkpoint").start()
+
+
+def read_stream_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """(trigger, rec, pos, piece) of all triggers so far."""
+    return spark.read.schema("rec long, pos long, piece string, trigger long").parquet(f"{folder}/pieces")
+
+
 def first_seen_stream(seqs: DataFrame, k: int, complements: bool = True) -> DataFrame:
     """Structured Streaming form of the scan: each k-mer once, with deduplication state.
 

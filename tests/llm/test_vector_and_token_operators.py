@@ -245,6 +245,16 @@ def test_stretches_encode_like_whole_texts(texts):
         parts = vocab.GAP.split(text)
         assert sum((tok.encode(" " + p, add_special_tokens=False).ids for p in parts), []) == whole_ids[0]
         assert sum((aligner.b.encode(p) for p in parts), []) == whole_ids[1]
+        assert sum(aligner._ours([" " + p for p in parts]), []) == whole_ids[0]
+    assert aligner.latin is not None and vocab.rank_encoding(vocab.path("word_bpe_49k.json")) is None
+
+
+def test_words_encode_like_whole_texts(texts):
+    encoder = token_files.Encoder(vocab.path("word_bpe_49k.json"))
+    assert encoder.pattern is not None and encoder.letters_stay
+    assert [np.frombuffer(i, dtype="<u4").tolist() + [1] for i in encoder.ids([(t or "").encode() for t in texts])] == brute_tokens([(0, t) for t in texts])
+    every = "".join(chr(c) + "x " + chr(c) + chr(c) + " a" + chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000)
+    assert np.frombuffer(encoder.ids([every.encode()])[0], dtype="<u4").tolist() + [1] == brute_tokens([(0, every)])[0]
 
 
 def test_memory_of_stretches_forgets_but_does_not_change(monkeypatch):
@@ -252,4 +262,4 @@ def test_memory_of_stretches_forgets_but_does_not_change(monkeypatch):
     memory = vocab.Memory(lambda words: [w.upper() for w in words])
     for words in (["a", "b", "a"], ["c", "d"], ["a", "e", "e", "f"], []):
         assert memory.of(words) == [w.upper() for w in words]
-    assert len(memory.held) <= 3
+    assert len(memory.held) <= 3 and len(memory.older) <= 3
