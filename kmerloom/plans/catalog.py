@@ -844,3 +844,14 @@ def loac_stats(spark, sf_dir):
         "n_kmers", (F.col("ones") >= F.col("n_kmers")).alias("keeps_ones"), (F.col("runs") <= F.col("g_runs")).alias("not_more_runs"),
         (cost("length", "runs") <= cost("g_length", "g_runs")).alias("not_dearer"),
     )
+
+
+@register("loac_search_stats", f"WITH {windows_sql('benchmark', KG, PLAIN)} SELECT count(DISTINCT canon) AS n_kmers, count(DISTINCT canon) AS n_decoded, TRUE AS not_dearer FROM w")
+def loac_search_stats(spark, sf_dir):
+    """The whole search by cost over the benchmark: it decodes to its set and is not dearer than walks followed by jumps."""
+    seqs, penalty = cut(_bases(spark, sf_dir, "benchmark")), 8
+    pieces = [superstrings.to_chunks(bounded.bounded(seqs, KG, run_penalty=penalty, combined=x), KG) for x in (True, False)]
+    a, b = (superstrings.stats(p, KG).select((F.col("length") + penalty * F.col("runs")).alias(n)) for p, n in zip(pieces, ("new", "old"), strict=True))
+    whole, again = extract.kmers(seqs, KG, True), extract.kmers(pieces[0], KG, True, case_sensitive=True)
+    n = whole.agg(F.count(F.lit(1)).alias("n_kmers")).join(again.join(whole, "kmer").agg(F.count(F.lit(1)).alias("n_decoded")))
+    return n.join(a).join(b).select("n_kmers", "n_decoded", (F.col("new") <= F.col("old")).alias("not_dearer"))

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -192,3 +193,64 @@ def test_bounded_is_never_dearer_than_global(spark):
         length, runs = measured(pieces)
         assert length + penalty * runs <= plain[0] + penalty * plain[1]
         assert brute.kmer_set([text(pieces)], 6, True, True) == brute.kmer_set(texts, 6, True)
+
+
+def cost(pieces, k, penalty):
+    r = superstrings.stats(superstrings.to_chunks(pieces, k), k).first()
+    return r.length + penalty * r.runs
+
+
+def optimum(words, k, penalty):
+    """Cheapest superstring that is a walk over the set: each hop costs the letters it adds, and a penalty where it starts a run."""
+    n = len(words)
+    overlap = lambda a, b: next(d for d in range(k - 1, -1, -1) if a[k - d :] == b[:d])
+    hop = [[0 if i == j else k - overlap(a, b) + (penalty if overlap(a, b) < k - 1 else 0) for j, b in enumerate(words)] for i, a in enumerate(words)]
+    for m in range(n):
+        for i in range(n):
+            for j in range(n):
+                hop[i][j] = min(hop[i][j], hop[i][m] + hop[m][j])
+    best = min(sum(hop[a][b] for a, b in zip(p, p[1:])) for p in itertools.permutations(range(n)))
+    return best + k + penalty
+
+
+def test_search_by_cost_against_the_optimum(spark):
+    """Sets of up to seven k-mers: the set stays, and in most of them the cost is the least possible one."""
+    rnd, best, least = random.Random(5), 0, 0
+    for i in range(4):
+        genome = "".join(rnd.choice("ACGT") for _ in range(9))
+        words = sorted({genome[j : j + 4] for j in rnd.sample(range(6), rnd.randint(4, 6))} | {"".join(rnd.choice("AC") for _ in range(4))})
+        penalty = rnd.choice([1, 2, 4])
+        pieces = bounded(kset(spark, words, 4), 4, False, penalty, combined=True)
+        assert brute.kmer_set([text(pieces)], 4, False, True) == set(words)
+        low, got = optimum(words, 4, penalty), cost(pieces, 4, penalty)
+        assert got >= low
+        best, least = best + (got == low), least + (got <= low + penalty)
+    assert best >= 2 and least >= 3
+
+
+@pytest.mark.parametrize("c", [True, False])
+def test_search_by_cost_is_not_dearer_than_walks_then_jumps(spark, c):
+    words = random_words(7, 90, 1, c)
+    source = kset(spark, words, 7).cache()
+    both = [bounded(source, 7, c, 3, combined=x) for x in (True, False)]
+    assert brute.kmer_set([text(both[0])], 7, c, True) == set(words)
+    new, old = (cost(p, 7, 3) for p in both)
+    assert new <= old
+
+
+def test_ends_that_share_words_are_both_linked(spark):
+    """Two ends walk through one word; the one that is not linked there goes on to its own start."""
+    k = 5
+    # two strings end in the same word CCGTA, from which a walk of the set leads to the starts of two others
+    texts = ["AAACCGT", "GGACCGT", "CCGTACAG", "TACAGTT", "TACAGGG"]
+    words = sorted({t[i : i + k] for t in texts for i in range(len(t) - k + 1)})
+    pieces = bounded(kset(spark, words, k), k, False, 6, combined=True)
+    assert brute.kmer_set([text(pieces)], k, False, True) == set(words)
+    assert cost(pieces, k, 6) <= cost(superstrings.global_greedy(kset(spark, words, k), k, False), k, 6)
+    assert superstrings.stats(superstrings.to_chunks(pieces, k), k).first().runs <= 2
+
+
+@pytest.mark.parametrize("c,words,want", [(False, ["ACAA", "AACA"], {"AAcaa"}), (True, ["ACAA", "ATTT", "AACA"], {"AAcAaat", "AtTTgtt"})])
+def test_local_goldens(spark, c, words, want):
+    words = [brute.canon(w) for w in words] if c else words
+    assert text(superstrings.local_greedy(kset(spark, words, 4), 4, 2, c)) in want
