@@ -25,6 +25,8 @@ from kmerloom.plans.runtime import cut, cut_counted
 
 #: Id pairs up to which their counts are sent to all executors (some 60 MB); beyond, rows are joined by salted keys.
 BROADCAST_PAIRS, SALTS = 1_000_000, 16
+#: Letters of text whose stretches are looked up at once.
+TOGETHER = 1 << 19
 
 
 def coalesce(a_lens: np.ndarray, b_lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -66,12 +68,22 @@ class Aligner:
         self.a_lens, self.b_lens = (np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes))
         # decimal ids with what follows them: the next token of its side, the other side, the next group
         self.a_text, self.b_text = (np.array([f"{i}{c}" for c in cs for i in range(len(table))], dtype=object) for cs, table in ((",|", self.a_bytes), (",;", self.b_bytes)))
+        self.latin = vocab.rank_encoding(a_place)
         self.memory = vocab.Memory(self._fresh)
 
+    def _ours(self, spaced: list[str]) -> list[list[int]]:
+        """A's ids; of Latin stretches by its merges as ranks, where the file allows that."""
+        if self.latin is None:
+            return [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        simple = [not vocab.BEYOND_LATIN.search(s) for s in spaced]
+        rest = [s for s, plain in zip(spaced, simple, strict=True) if not plain]
+        others = iter(self.a.encode_batch_fast(rest, add_special_tokens=False) if rest else [])
+        return [self.latin.encode_ordinary(s) if plain else next(others).ids for s, plain in zip(spaced, simple, strict=True)]
+
     def _fresh(self, stretches: list[str]) -> list[tuple]:
         """Per stretch (numbers of A and B tokens, groups, groups as text, links as packed ids); () where a side's bytes differ."""
         spaced = [" " + s for s in stretches]
-        ours = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        ours = self._ours(spaced)
         theirs = self.b.encode(stretches, num_threads=1)
         sides = []
         for text, x, y in zip(spaced, ours, theirs, strict=True):
@@ -98,27 +110,49 @@ class Aligner:
             x, y, g, k = xs, ys, gs, ks
         return out
 
-    def text(self, text: str) -> tuple[int, int, int, str, np.ndarray]:
-        """(A tokens, B tokens, groups, groups as text, packed ids of every link); zeros where there are no tokens."""
-        parts = self.memory.of(vocab.GAP.split(text)) if text else []
-        if not parts or () in parts:
-            return 0, 0, 0, "", np.empty(0, dtype=np.int64)
-        a, b, groups, told, links = zip(*parts, strict=True)
-        return sum(a), sum(b), sum(groups), "".join(told)[:-1], np.frombuffer(b"".join(links), dtype="<i8")
+    def texts(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """(A tokens, B tokens, groups, groups as text, packed ids of every link) of each text; zeros where there are no tokens."""
+        stretches = [vocab.GAP.split(t) if t else [] for t in texts]
+        found, out, at = self.memory.of([s for own in stretches for s in own]), [], 0
+        for own in stretches:
+            parts = found[at : at + len(own)]
+            at += len(own)
+            if not parts or () in parts:
+                out.append((0, 0, 0, "", np.empty(0, dtype=np.int64)))
+                continue
+            a, b, groups, told, links = zip(*parts, strict=True)
+            out.append((sum(a), sum(b), sum(groups), "".join(told)[:-1], np.frombuffer(b"".join(links), dtype="<i8")))
+        return out
 
 
 _ROWS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<{0}>, times array<int>"
 
 
+def _groups(texts: pa.Array) -> Iterator[list[str]]:
+    """Neighbouring texts, some ``TOGETHER`` letters at a time or one longer text."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text.as_py())
+        size += len(group[-1])
+        if size >= TOGETHER:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _aligned(batches: Iterator[pa.RecordBatch], a_place: str, b_place: str, narrow: bool) -> Iterator[pa.RecordBatch]:
     aligner = vocab.once(("align", a_place, b_place), lambda: Aligner(a_place, b_place))
     kind = np.int32 if narrow else np.int64
     for batch in batches:
-        for low in range(0, batch.num_rows, 512):
-            ids, texts = (batch.column(i).slice(low, 512) for i in (0, 1))
+        low = 0
+        for texts in _groups(batch.column(1)):
+            ids = batch.column(0).slice(low, len(texts))
+            low += len(texts)
             rows, pairs, times, sizes = [], [], [], [0]
-            for text in texts:
-                n_a, n_b, groups, told, links = aligner.text(text.as_py())
+            with vocab.no_cycle_search():
+                found = aligner.texts(texts)
+            for n_a, n_b, groups, told, links in found:
                 pair, often = np.unique(links, return_counts=True)
                 rows.append((n_a, n_b, groups, len(links), hashlib.sha256(told.encode()).hexdigest() if n_a else ""))
                 pairs.append(pair.astype(kind))

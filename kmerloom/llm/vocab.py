@@ -7,11 +7,15 @@ task encodes each distinct stretch once and keeps a bounded memory of them.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
 import os
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 #: Stretches of a generation; a worker keeps the results of two. Fewer only cost time.
 HELD = 150_000
 #: Longer stretches are encoded each time, so that the memory stays small.
@@ -19,6 +23,8 @@ LONG = 200
 
 #: First code point after the Latin blocks, whose letters all tokenizers class alike.
 LATIN_END = "\u0250"
+#: Anything but printable letters of the Latin blocks.
+BEYOND_LATIN = re.compile("[^ -~\xa1-\xac\xae-\u024f]")
 
 #: A single space between two other characters: where byte-level and sentence-piece tokenizers both cut.
 GAP = re.compile(r"(?<=\S) (?=\S)")
@@ -45,17 +51,33 @@ class Memory:
         found = list(map(self.held.get, wanted))
         if None not in found:
             return found
-        missed = dict.fromkeys([w for w, r in zip(wanted, found, strict=True) if r is None])
-        new = {w: r for w in missed if (r := self.older.get(w)) is not None}
-        fresh = [w for w in missed if w not in new]
+        places = [i for i, r in enumerate(found) if r is None]
+        older, new, fresh = self.older, dict.fromkeys([wanted[i] for i in places]), []
+        for w in new:
+            new[w] = r = older.get(w)
+            if r is None:
+                fresh.append(w)
         new.update(zip(fresh, self.compute(fresh), strict=True))
-        found = [new[w] if r is None else r for w, r in zip(wanted, found, strict=True)]
+        for i in places:
+            found[i] = new[wanted[i]]
         if len(self.held) + len(new) > HELD:
             self.held, self.older = {}, self.held
-        self.held.update((w, r) for w, r in new.items() if len(w) <= LONG)
+        self.held.update([(w, r) for w, r in new.items() if len(w) <= LONG])
         return found
 
 
+@contextlib.contextmanager
+def no_cycle_search():
+    """Hold the search for reference cycles, which would walk through the kept results again and again; none are made here."""
+    held = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if held:
+            gc.enable()
+
+
 _LOADED: dict[tuple, object] = {}
 
 
@@ -100,8 +122,7 @@ def rank_encoding(place: str):
     import public_tokenizers
     import tiktoken
 
-    with open(place, encoding="utf-8") as f:
-        stated = json.load(f)
+    stated = _stated(place)
     model, step = stated["model"], stated.get("pre_tokenizer") or {}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step["add_prefix_space"] and not stated.get("normalizer")
@@ -110,3 +131,56 @@ def rank_encoding(place: str):
     letters = byte_level()
     ranks = {bytes(letters[c] for c in name): i for name, i in model["vocab"].items() if i < 256 + len(merges)}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _stated(place: str) -> dict:
+    with open(place, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def word_pattern(place: str):
+    """The pattern by which a byte-level tokenizer cuts words, if that is all it does before its model; else None."""
+    import regex
+
+    steps = (_stated(place).get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kinds = [x["type"] for x in steps]
+    if kinds != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[0]["behavior"] != "Removed" or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return None
+    return regex.compile(steps[0]["pattern"]["Regex"])
+
+
+class WordRanks:
+    """The merges of a tokenizer with word ends as ranks; a zero byte stands for the end of a word.
+
+    ``encoding`` takes parts that end with a zero byte, ``last`` tells whether an id ends a part.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], suffix: str):
+        import tiktoken
+
+        letters, ranks = byte_level(), {}
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for name, i in vocabulary.items():
+            ends = name.endswith(suffix) and len(name) > len(suffix)
+            stem = name[: -len(suffix)] if ends else name
+            if all(c in letters for c in stem):
+                ranks[bytes(letters[c] for c in stem) + b"\0" * ends] = i
+                self.last[i] = ends
+        self.encoding = tiktoken.Encoding("words", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={})
+
+
+def word_ranks(place: str) -> WordRanks | None:
+    """The merges of a tokenizer file with word ends as ranks, or None if they cannot be told as such.
+
+    The first ids have to be the single bytes and the single bytes that end a word, the next ones the merges in their order. Then
+    the least rank is the first merge, and a word's last letter takes up its end before anything else.
+    """
+    model = _stated(place)["model"]
+    suffix, vocabulary = model.get("end_of_word_suffix"), model.get("vocab", {})
+    if model.get("type") != "BPE" or not suffix or model.get("dropout") or model.get("ignore_merges"):
+        return None
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    single = [vocabulary.get(letter + end, 512) for letter in byte_level() for end in ("", suffix)]
+    if sorted(single) != list(range(512)) or any(vocabulary.get(a + b) != 512 + i for i, (a, b) in enumerate(merges)):
+        return None
+    return WordRanks({name: i for name, i in vocabulary.items() if i < 512 + len(merges)}, suffix)
