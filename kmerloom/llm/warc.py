@@ -90,8 +90,29 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     records.write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(folder)
 
 
-def _record(data: bytes, at: int) -> tuple[dict, int] | None:
-    """The record whose version line starts at ``at`` and its end, or None if anything about it fails."""
+#: Digest algorithms that WARC files name, and the functions behind them.
+_ALGORITHMS = {"md5": "md5", "sha1": "sha1", "sha-1": "sha1", "sha256": "sha256", "sha-256": "sha256", "sha512": "sha512", "sha-512": "sha512"}
+
+
+def _agrees(stated: bytes, body: bytes) -> bool | None:
+    """Whether the body has the stated digest; None if there is none, or one of an unknown algorithm or spelling."""
+    name, _, value = stated.decode("latin-1").partition(":")
+    algorithm = _ALGORITHMS.get(name.strip().lower())
+    if algorithm is None:
+        return None
+    own, value = hashlib.new(algorithm, body).digest(), value.strip()
+    if len(value) == 2 * len(own):
+        return value.lower() == own.hex()
+    if len(value.rstrip("=")) == -(-8 * len(own) // 5):
+        return value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("=")
+    return None
+
+
+def _record(data: bytes, at: int, sure: bool = False) -> tuple[dict, int] | None:
+    """The record whose version line starts at ``at`` and its end, or None if anything about it fails.
+
+    With ``sure`` only a record whose block digest agrees will do, else also one whose digest cannot be checked.
+    """
     if not _LINE.match(data, at):
         return None
     stop = data.find(b"\r\n\r\n", at)
@@ -108,43 +129,81 @@ def _record(data: bytes, at: int) -> tuple[dict, int] | None:
     if end < 0 or data[end : end + 4] != b"\r\n\r\n":
         return None
     body = data[stop + 4 : end]
-    if head.get(b"warc-block-digest", b"").decode("latin-1") not in ("", "sha1:" + digest(body)):
+    agrees = _agrees(head.get(b"warc-block-digest", b""), body)
+    if agrees is False or sure and not agrees:
         return None
     return {"head": head, "body": body}, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | None:
-    """The gzip member that starts at ``at``, checked by its own checksum and length, and its end."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, bool]:
+    """What the gzip member that starts at ``at`` inflates to, where it ends, and whether its own checks hold.
+
+    Of a damaged or cut member it is what was inflated before the fault.
+    """
     unpack, view, parts = zlib.decompressobj(31), memoryview(data), []
     while not unpack.eof and at < len(data):
-        piece = view[at : at + 16384]
+        piece, before = view[at : at + 16384], unpack.copy()
         at += len(piece)
         try:
             parts.append(unpack.decompress(piece))
         except zlib.error:
-            return None
-    return (b"".join(parts), at - len(unpack.unused_data)) if unpack.eof else None
+            parts.append(_up_to_fault(before, piece))
+            return b"".join(parts), at, False
+    return b"".join(parts), at - len(unpack.unused_data), unpack.eof
+
+
+def _up_to_fault(unpack, piece: memoryview) -> bytes:
+    """What a piece that fails inflates to, byte by byte, before it fails."""
+    out = []
+    try:
+        for i in range(len(piece)):
+            out.append(unpack.decompress(piece[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _inside(inner: bytes, sure: bool) -> tuple[list[dict], list[tuple[int, int]]]:
+    """The valid records in what a member inflates to, and the (place, length) of what lies between them."""
+    found, gaps, place, gap = [], [], 0, None
+    while place < len(inner):
+        one = _record(inner, place, sure)
+        if one:
+            if gap is not None:
+                gaps.append((gap, place - gap))
+                gap = None
+            found.append(one[0])
+            place = one[1]
+        else:
+            gap = place if gap is None else gap
+            place = inner.find(b"WARC/1.", place + 1)
+            place = len(inner) if place < 0 else place
+    if gap is not None:
+        gaps.append((gap, len(inner) - gap))
+    return found, gaps
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
     """Read an archive, plain or of gzip members: ``(kind, offset, length, record)``, kind record or gap.
 
-    After a failed check the bytes are searched for the next place where a whole valid member or
-    record starts; the bytes before it are one gap. Zero padding between members is no gap.
+    After a failed check the bytes are searched for the next place where a valid member or
+    record starts; the bytes before it are one gap. Inside a member the search goes on at the next version line, so
+    its other records are kept; what lies between them is a gap of the member's bytes, whose last entry tells place
+    and length in the inflated bytes. Of a damaged or cut member the records before the fault are kept if their block
+    digests agree and more follows them, and its bytes are part of a gap, too. Zero padding between members is no gap.
     """
     at, gap, size = 0, None, len(data)
+    held: list[tuple[int, dict]] = []  # records of damaged members in the open gap
     while at < size:
-        found, end = [], at
+        found, holes, end = [], [], at
         if data.startswith(MAGIC, at):
-            member = _inflate(data, at)
-            if member:
-                inner, end = member
-                place = 0
-                while place < len(inner) and (one := _record(inner, place)):
-                    found.append(one[0])
-                    place = one[1]
-                if place < len(inner) or not found:
-                    found = []
+            inner, end, sound = _inflate(data, at)
+            found, holes = _inside(inner, not sound)
+            if not sound:
+                # nothing vouches for a record that runs up to the fault
+                ends_there = not holes or sum(holes[-1]) < len(inner)
+                held += [(at, record) for record in (found[:-1] if ends_there else found)]
+                found, holes = [], []
         elif one := _record(data, at):
             found, end = [one[0]], one[1]
         elif gap is None and data[at] == 0:
@@ -152,16 +211,20 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | None]]:
             continue
         if found:
             if gap is not None:
+                yield from (("record", start, at - start, record) for start, record in held)
                 yield "gap", gap, at - gap, None
-                gap = None
+                gap, held = None, []
             for record in found:
                 yield "record", at, end - at, record
+            for place, length in holes:
+                yield "gap", at, end - at, {"place": place, "length": length}
             at = end
         else:
             gap = at if gap is None else gap
             nexts = [p for p in (data.find(MAGIC, at + 1), data.find(b"WARC/1.", at + 1)) if p >= 0]
             at = min(nexts, default=size)
     if gap is not None:
+        yield from (("record", start, size - start, record) for start, record in held)
         yield "gap", gap, size - gap, None
 
 
@@ -172,7 +235,7 @@ def _id(value: bytes | None) -> int | None:
 
 READ = (
     "archive string, kind string, offset long, length long, page_id long, url string, record_type string,"
-    " payload_bytes long, payload_digest string, refers_to long, payload binary"
+    " payload_bytes long, payload_digest string, refers_to long, payload binary, inner long, inner_length long"
 )
 
 
@@ -180,13 +243,15 @@ def _read(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFr
     for files in batches:
         for path, content in zip(files["path"], files["content"], strict=True):
             rows, held = [], 0
-            for kind, offset, length, record in salvage(content):
+            for kind, offset, length, told in salvage(content):
+                record, hole = (told, {}) if kind == "record" else (None, told or {})
                 head = record["head"] if record else {}
                 stated = head.get(b"x-payload-length", b"")
                 rows.append((
                     path, kind, offset, length, _id(head.get(b"warc-record-id")), head.get(b"warc-target-uri", b"").decode("utf-8", "replace") if record else None,
                     head[b"warc-type"].decode("latin-1") if b"warc-type" in head else None, int(stated) if _NUMBER.match(stated) else None,
                     head.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:") or None, _id(head.get(b"warc-refers-to")), record["body"] if record and payloads else None,
+                    hole.get("place"), hole.get("length"),
                 ))
                 held += len(record["body"]) if record and payloads else 0
                 if len(rows) >= 4096 or held > 16 << 20:
@@ -198,13 +263,14 @@ def _read(batches: Iterator[pd.DataFrame], payloads: bool) -> Iterator[pd.DataFr
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=[part.split()[0] for part in READ.split(",")])
-    for name in ("page_id", "payload_bytes", "refers_to"):
+    for name in ("page_id", "payload_bytes", "refers_to", "inner", "inner_length"):
         out[name] = pd.array([None if pd.isna(x) else x for x in out[name].astype(object)], dtype="Int64")
     return out
 
 
 def read_archives(spark, folder: str, payloads: bool = True) -> DataFrame:
-    """Records and quarantined gaps of all archives in a folder; one row each, gaps with offset and length only."""
+    """Records and quarantined gaps of all archives in a folder; one row each, gaps with offset and length, those inside a
+    gzip member also with place and length in its inflated bytes (inner, inner_length)."""
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     return files.mapInPandas(lambda it: _read(it, payloads), READ)
 

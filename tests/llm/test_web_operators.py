@@ -40,6 +40,45 @@ def test_written_files_are_plain_gzip(spark, tmp_path):
     assert {(r["page_id"], bytes(r["payload"])) for r in read} == {(1, b""), (2, b"two"), (3, b"one")}
 
 
+def ids_and_gaps(data):
+    rows = list(warc.salvage(data))
+    return [warc._id(r["head"][b"warc-record-id"]) for k, _, _, r in rows if k == "record"], [(o, n, t) for k, o, n, t in rows if k == "gap"]
+
+
+def test_salvage_inside_members():
+    records = [warc.encode(i, f"http://x/{i}", random.Random(i).randbytes(400), None) for i in range(6)]
+    plain = bytearray(b"".join(records))
+    plain[sum(map(len, records[:2])) + len(records[2]) - 50] ^= 1  # a body that does not fit its digest
+    ids, gaps = ids_and_gaps(gzip.compress(bytes(plain), mtime=0))
+    assert ids == [0, 1, 3, 4, 5] and [t for *_, t in gaps] == [{"place": sum(map(len, records[:2])), "length": len(records[2])}]
+    member = gzip.compress(b"".join(records), mtime=0)
+    later = gzip.compress(warc.encode(9, None, b"later", None), mtime=0)
+    # cut 40 bytes early: all records that are there as a whole
+    ids, gaps = ids_and_gaps(member[:-40])
+    assert ids == [0, 1, 2, 3, 4] and gaps == [(0, len(member) - 40, None)]
+    ids, gaps = ids_and_gaps(member[:-40] + later)
+    assert ids == [0, 1, 2, 3, 4, 9] and gaps == [(0, len(member) - 40, None)]
+    # the checksum at the end is wrong: the records' own digests still agree, but nothing follows the last one
+    ids, gaps = ids_and_gaps(member[:-8] + b"\1\2\3\4" + member[-4:] + later)
+    assert ids == [0, 1, 2, 3, 4, 9] and gaps == [(0, len(member), None)]
+    # without a digest nothing of a damaged member is trusted
+    bare = b"".join(re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", r) for r in records)
+    packed = gzip.compress(bare, mtime=0)
+    assert ids_and_gaps(packed)[0] == [0, 1, 2, 3, 4, 5] and ids_and_gaps(packed[:-40])[0] == []
+
+
+@pytest.mark.parametrize("name,spell", [("sha256", "hex"), ("sha1", "hex"), ("md5", "hex"), ("sha256", "base32"), ("sha1", "lower"), ("sha512", "hex"), ("blake9", "hex"), ("sha1", "odd")])
+def test_digests_of_other_forms(name, spell):
+    body = b"some body"
+    raw = hashlib.new(name if name in hashlib.algorithms_available else "sha1", body).digest()
+    value = {"hex": raw.hex(), "base32": base64.b32encode(raw).decode(), "lower": base64.b32encode(raw).decode().lower(), "odd": "xyz"}[spell]
+    record = re.sub(rb"WARC-Block-Digest: [^\r]*", f"WARC-Block-Digest: {name}:{value}".encode(), warc.encode(1, None, body, None))
+    assert ids_and_gaps(record)[0] == [1]
+    wrong = record.replace(b"some body", b"other one")
+    known = name != "blake9" and spell != "odd"
+    assert ids_and_gaps(wrong)[0] == ([] if known else [1])
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage_recovers_later_records(packed):
     records = [warc.encode(i, f"http://x/{i}", b"payload %d " % i * (i + 1), None) for i in range(6)]
