@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Stretches of a generation; a worker keeps the results of two. Fewer only cost time.
-HELD = 150_000
+HELD = 60_000
 #: Longer stretches are encoded each time, so that the memory stays small.
 LONG = 200
 
@@ -122,10 +122,10 @@ def rank_encoding(place: str):
     import public_tokenizers
     import tiktoken
 
-    stated = _stated(place)
-    model, step = stated["model"], stated.get("pre_tokenizer") or {}
+    held = stated(place)
+    model, step = held["model"], held.get("pre_tokenizer") or {}
     merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
-    plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step["add_prefix_space"] and not stated.get("normalizer")
+    plain = step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step["add_prefix_space"] and not held.get("normalizer")
     if not plain or any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
         return None
     letters = byte_level()
@@ -133,16 +133,17 @@ def rank_encoding(place: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _stated(place: str) -> dict:
+def stated(place: str) -> dict:
+    """What a tokenizer file holds."""
     with open(place, encoding="utf-8") as f:
         return json.load(f)
 
 
-def word_pattern(place: str):
+def word_pattern(held: dict):
     """The pattern by which a byte-level tokenizer cuts words, if that is all it does before its model; else None."""
     import regex
 
-    steps = (_stated(place).get("pre_tokenizer") or {}).get("pretokenizers", [])
+    steps = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
     kinds = [x["type"] for x in steps]
     if kinds != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[0]["behavior"] != "Removed" or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
         return None
@@ -169,13 +170,13 @@ class WordRanks:
         self.encoding = tiktoken.Encoding("words", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={})
 
 
-def word_ranks(place: str) -> WordRanks | None:
+def word_ranks(held: dict) -> WordRanks | None:
     """The merges of a tokenizer file with word ends as ranks, or None if they cannot be told as such.
 
     The first ids have to be the single bytes and the single bytes that end a word, the next ones the merges in their order. Then
     the least rank is the first merge, and a word's last letter takes up its end before anything else.
     """
-    model = _stated(place)["model"]
+    model = held["model"]
     suffix, vocabulary = model.get("end_of_word_suffix"), model.get("vocab", {})
     if model.get("type") != "BPE" or not suffix or model.get("dropout") or model.get("ignore_merges"):
         return None

@@ -251,7 +251,7 @@ def test_stretches_encode_like_whole_texts(texts):
 
 def test_words_encode_like_whole_texts(texts):
     encoder = token_files.Encoder(vocab.path("word_bpe_49k.json"))
-    assert encoder.pattern is not None and encoder.letters_stay
+    assert encoder.simple and encoder.letters_stay and vocab.word_ranks(vocab.stated(vocab.path("byte_bpe_50k.json"))) is None
     assert [np.frombuffer(i, dtype="<u4").tolist() + [1] for i in encoder.ids([(t or "").encode() for t in texts])] == brute_tokens([(0, t) for t in texts])
     every = "".join(chr(c) + "x " + chr(c) + chr(c) + " a" + chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000)
     assert np.frombuffer(encoder.ids([every.encode()])[0], dtype="<u4").tolist() + [1] == brute_tokens([(0, every)])[0]
