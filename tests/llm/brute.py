@@ -100,3 +100,33 @@ def shards(rows, count=8):
         slots[shard] += 1
         before += size
     return out
+
+
+def word_shingles(text, width=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(len(words) - width + 1, 1 if words else 0)))
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def near_classes(rows, least=0.8):
+    """Smallest doc_id of the class of each (doc_id, text), all pairs compared."""
+    sets = [word_shingles(t) for _, t in rows]
+    low = list(range(len(rows)))
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if alike(sets[i], sets[j]) >= least:
+                low[root(i)] = root(j)
+    best = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            best[root(i)] = min(doc_id, best.get(root(i), doc_id))
+    return [best.get(root(i)) for i in range(len(rows))]

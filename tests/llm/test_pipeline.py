@@ -4,7 +4,7 @@ import string
 import pytest
 
 import corpus_pipeline
-from kmerloom.llm import decontaminate, toxicity
+from kmerloom.llm import decontaminate, near, toxicity
 from tests.llm import brute
 
 
@@ -51,6 +51,9 @@ def test_every_stage_does_its_own_work(spark, folder):
     assert single.columns == columns
     assert {r["doc_id"] for r in single.collect()} == {i for (i, _), g in zip(rows, groups) if i is None or i == g}
 
+    groups = brute.near_classes(rows)
+    assert {r["doc_id"] for r in single.collect()} == {i for (i, _), g in zip(rows, groups) if i is None or i == g}
+
     clean = stages[2](spark, single, root).cache()
     assert clean.columns == columns
     items = [decontaminate.words_of(t) for _, t in items]
@@ -102,3 +105,65 @@ def test_near_copies_from_a_similarity_of_four_fifths_go(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
     assert kept == set(range(0, 240, 2)) | {i for i, s in alike.items() if s < 0.8}
     assert sum(0.8 <= s <= 0.9 for s in alike.values()) > 10 and min(alike.values()) < 0.6
+
+
+ODD = "doc_id long, text string, node string, keys string, sig int, u string, root int"
+
+
+def near_of(spark, rows):
+    docs = spark.createDataFrame([(i, t, "x", "x", 1, "x", 2) for i, t in rows], ODD)
+    return sorted(((r["doc_id"], r["component_id"]) for r in near.near_duplicates(docs).collect()), key=str)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "  "), (4, "one"), (5, "One"), (6, "one two three four"), (7, "one  two\tthree four"), (None, "one"), (8, "a b c d e f"), (8, "a b c d e f"), (9, "x " * 4000)]
+    assert near_of(spark, rows) == sorted(zip([i for i, _ in rows], brute.near_classes(rows)), key=str)
+    assert near_of(spark, rows[:3]) == [(1, 1), (2, 1), (3, 1)] and near_of(spark, []) == []
+
+
+def drifted(rnd, words, n, length=120):
+    """A text and copies of it with more and more words changed, also copies of copies."""
+    base = rnd.choices(words, k=length)
+    group = [base]
+    for i in range(n - 1):
+        copy = list(rnd.choice(group[: 1 + i // 4]))
+        for at in rnd.sample(range(length), rnd.randint(0, 9)):
+            copy[at] = rnd.choice(words)
+        group.append(copy)
+    return [" ".join(g) for g in group]
+
+
+def test_drifting_groups_equal_all_pairs_and_do_not_grow_squarely(spark, monkeypatch):
+    rnd = random.Random(21)
+    words = ["".join(rnd.choices(string.ascii_lowercase, k=6)) for _ in range(3000)]
+    pairs, verified = [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda found, *a: pairs.append(found.count()) or verified(found, *a))
+    made = []
+    for n in (150, 300):
+        rows = list(enumerate(drifted(rnd, words, n) + drifted(rnd, words, 20)))
+        pairs.clear()
+        got = near_of(spark, rows)
+        want = sorted(zip([i for i, _ in rows], brute.near_classes(rows)), key=str)
+        assert sum(a != b for a, b in zip(got, want)) <= len(rows) // 100
+        made.append(sum(pairs))
+    assert made[0] < 150 * 149 / 4 and made[1] < 3 * made[0]
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of one text and a changed copy: nearly all from 0.8 on are linked, none below."""
+    rnd = random.Random(22)
+    words = ["".join(rnd.choices(string.ascii_lowercase, k=6)) for _ in range(5000)]
+    rows, want = [], {}
+    for i in range(400):
+        base = rnd.choices(words, k=150)
+        copy = list(base)
+        for at in rnd.sample(range(150), rnd.randint(1, 6)):
+            copy[at] = copy[at] + "x"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        want[2 * i + 1] = brute.alike(brute.word_shingles(rows[-1][1]), brute.word_shingles(rows[-2][1]))
+    linked = {i for i, c in near_of(spark, rows) if i % 2 and i != c}
+    assert not [i for i in linked if want[i] < 0.8]
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        here = [i for i, s in want.items() if low <= s < high]
+        print(f"similarity {low} to {high}: {sum(i in linked for i in here)} of {len(here)} linked")
+        assert len(here) > 20 and sum(i in linked for i in here) >= 0.98 * len(here)
