@@ -69,6 +69,8 @@ def _words(codes: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray
 
 def _before(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Whether k-mer a sorts before k-mer b, index by index."""
+    if len(a) == 1:
+        return a[0] < b[0]
     out, tie = np.zeros(len(a[0]), bool), np.ones(len(a[0]), bool)
     for x, y in zip(a, b, strict=True):
         out |= tie & (x < y)
@@ -155,8 +157,13 @@ def kmer_counts(seqs: DataFrame, k: int, canonical_form: bool = False, case_sens
 
     def run(batches):
         for _, _, fwd, rev, up in _scan(batches, k):
-            flip = _before(rev, fwd) if canonical_form else np.zeros(len(up), bool)
-            words = [np.where(flip, r, f) for f, r in zip(fwd, rev, strict=True)]
+            if canonical_form and len(fwd) == 1:
+                words = [np.minimum(fwd[0], rev[0])]
+            elif canonical_form:
+                flip = _before(rev, fwd)
+                words = [np.where(flip, r, f) for f, r in zip(fwd, rev, strict=True)]
+            else:
+                words = fwd
             columns = _counted([w[up] for w in words] if case_sensitive else words)
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], [*names, "n"])
 
