@@ -513,10 +513,10 @@ def unitig_places(spark, sf_dir):
     return t.select(K.decode(F.col("part"), KG).alias("part"), "at", K.decode(F.col("kmer"), KG).alias("kmer"), "circular")
 
 
-@register("unitig_decode", _TRUTH)
+@register("unitig_decode", f"WITH {windows_sql('conversations', KG, PLAIN)} SELECT DISTINCT canon AS kmer FROM w")
 def unitig_decode(spark, sf_dir):
-    """All unitigs of the documents as a masked superstring, and its set again."""
-    placed = unitigs.unitigs(cut(kmer_set(spark, sf_dir, k=KG, digits=PLAIN)), KG)
+    """All unitigs of the conversations as a masked superstring, and its set again."""
+    placed = unitigs.unitigs(cut(kmer_set(spark, sf_dir, "conversations", KG, digits=PLAIN)), KG)
     return _decoded_pieces(unitigs.to_superstring(cut(unitigs.spelled(placed, KG)), KG), KG, True)
 
 
