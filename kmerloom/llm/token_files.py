@@ -15,6 +15,7 @@ as an id has bits, so any range of ids is unpacked from its own bytes alone, fou
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ TOGETHER = 1 << 19
 #: UTF-8 bytes of text that a file stands for on average.
 FILE_TEXT = 32 << 20
 _TRAILER = struct.Struct("<QQQQII8s")
+#: The letters that a byte-level vocabulary writes for bytes.
+_LETTERS = {b: letter for letter, b in vocab.byte_level().items()}
 
 
 def bits_of(size: int) -> int:
@@ -103,54 +107,47 @@ class Encoder:
     """Ids of whole texts from a tokenizer file, without special tokens around them.
 
     Its pieces never cross white space, so a text's words are encoded alone. Words are told apart at
-    ASCII white space only; names of special tokens inside texts are special tokens, as the tokenizer does by itself. Words
-    of printable Latin letters are cut by the tokenizer's own pattern and merged by rank, all new ones of a batch in one call;
-    other words, and all words of a tokenizer whose file does not allow that, go through the whole tokenizer.
+    ASCII white space only; names of special tokens inside texts are special tokens, as the tokenizer does by itself. A word
+    of printable Latin letters is cut by the tokenizer's own pattern and its parts, which many words share, go to the model;
+    other words, and all words of a tokenizer without such a pattern, go through the whole tokenizer.
     """
 
     def __init__(self, place: str):
         self.tokenizer = vocab.tokenizer(place, plain_specials=False)
         self.bits = bits_of(self.tokenizer.get_vocab_size())
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        held = vocab.stated(place)
-        self.pattern, self.ranks = vocab.word_pattern(held), vocab.word_ranks(held)
+        self.pattern, self.model = _word_pattern(place), self.tokenizer.model
         # whether Latin letters are only lowered, and a word of letters alone is one part
         latin = [c for c in map(chr, range(ord(vocab.LATIN_END))) if not vocab.BEYOND_LATIN.search(c)]
         normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
-        self.simple = self.pattern is not None and self.ranks is not None and all(normal(f"a{c}a") == f"a{c}a".lower() for c in latin if c != " ")
+        self.lowers = all(normal(f"a{c}a") == f"a{c}a".lower() for c in latin if c != " ")
         every = "".join(filter(str.isalpha, latin))
         self.letters_stay = self.pattern is not None and self.pattern.findall(every) == [every]
-        self.memory = vocab.Memory(self._fresh)
-
-    def _ranked(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of Latin words in lower case, all in one call; every part ends with a token that ends one."""
-        cut_up = [1 if self.letters_stay and w.isalpha() else self.pattern.findall(w) for w in words]
-        parts = [p for w, ps in zip(words, cut_up, strict=True) for p in ((w,) if ps == 1 else ps)]
-        ids = np.array(self.ranks.encoding.encode_ordinary("\0".join(parts) + "\0"), dtype="<u4")
-        data, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ranks.last[ids]) + 1)).tolist()
-        part = start = 0
-        for ps in cut_up:
-            part += 1 if ps == 1 else len(ps)
-            yield data[start : stops[part - 1]]
-            start = stops[part - 1]
+        self.memory, self.parts = vocab.Memory(self._fresh), vocab.Memory(self._parts)
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS) for p in parts]
+        return [array("I", [t.id for t in self.model.tokenize(p)]).tobytes() for p in spelled]
 
     def _fresh(self, words: list[bytes]) -> list[bytes]:
         texts = [w.decode("utf-8", "replace") for w in words]
-        out: list[bytes | None] = [None] * len(words)
-        if self.simple:
-            odd = vocab.BEYOND_LATIN.search
+        known: dict[int, bytes] = {}
+        if self.pattern is not None and self.lowers:
+            odd, alone = vocab.BEYOND_LATIN.search, self.letters_stay
             named = [n for n in self.added if any(n in t for t in texts)]
             plain = [i for i, t in enumerate(texts) if not odd(t) and not any(n in t for n in named)]
-            if plain:
-                lower = "\n".join([texts[i] for i in plain]).lower().split("\n")
-                for i, ids in zip(plain, self._ranked(lower), strict=True):
-                    out[i] = ids
-        rest = [i for i, ids in enumerate(out) if ids is None]
+            normal = " ".join([texts[i] for i in plain]).lower().split(" ") if plain else []
+            cut_up = [[t] if alone and t.isalpha() else self.pattern.findall(t) for t in normal]
+            ids, at = self.parts.of([p for ps in cut_up for p in ps]), 0
+            for i, ps in zip(plain, cut_up, strict=True):
+                stop = at + len(ps)
+                known[i] = ids[at] if stop == at + 1 else b"".join(ids[at:stop])
+                at = stop
+        rest = [i for i in range(len(words)) if i not in known]
         if rest:
             found = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
-            for i, e in zip(rest, found, strict=True):
-                out[i] = array("I", e.ids).tobytes()
-        return out
+            known.update((i, array("I", e.ids).tobytes()) for i, e in zip(rest, found, strict=True))
+        return [known[i] for i in range(len(words))]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as u32."""
@@ -162,6 +159,16 @@ class Encoder:
         return out
 
 
+def _word_pattern(place: str):
+    """The pattern by which a byte-level tokenizer cuts words, if that is all it does before its model; else None."""
+    with open(place, encoding="utf-8") as f:
+        steps = (json.load(f).get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kinds = [x["type"] for x in steps]
+    if kinds != ["Split", "ByteLevel"] or not steps[0]["invert"] or steps[0]["behavior"] != "Removed" or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return None
+    return regex.compile(steps[0]["pattern"]["Regex"])
+
+
 def _groups(texts: pa.Array) -> Iterator[list[bytes]]:
     """Neighbouring texts, some ``TOGETHER`` bytes at a time or one longer text."""
     group, size = [], 0
