@@ -9,7 +9,7 @@ from tests import brute
 def texts(seed, n=30, letters="ACGTACGTACGTacgtN"):
     rnd = random.Random(seed)
     out = ["".join(rnd.choices(letters, weights=[9] * 12 + [3] * 4 + [1], k=rnd.randint(0, 400))) for _ in range(n)]
-    return [*out, *out[:5], *(brute.rc(t.upper().replace("N", "A")) for t in out[5:9]), "ACGT" * 600, "A" * 1500, ""]
+    return [*out, *out[:5], *(brute.rc(t.upper().replace("N", "A")) for t in out[5:9]), "ACGT" * 600, "ACGTTGC" * 300, "A" * 1500, ""]
 
 
 def frame(spark, seqs):
