@@ -11,10 +11,15 @@ from kmerloom.plans.runtime import cut
 MEASURES = ["length", "runs", "time_s", "mem_kib", "gzip", "bzip2", "xz", "zpaq", "zstd"]
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
+def parse_log(lines: DataFrame, k: int | None = None, complements: bool | None = None) -> DataFrame:
     """Lines ``ts <tab> arguments <tab> := measures`` to typed rows.  Missing trailing
-    measures count as 1 and fractions are cut, except for the run time."""
+    measures count as 1 and fractions are cut, except for the run time.  With ``k`` or ``complements``
+    lines that can't have them are left out before they are parsed; others may stay."""
     v = F.col("value")
+    if k is not None:
+        lines = lines.where(v.contains(f"-k {k}"))
+    if complements:
+        lines = lines.where(v.contains("-c"))
     args = F.regexp_extract(v, r"^[^\t]*\t(.*?)\s*:=", 1)
     nums = F.split(F.trim(F.regexp_extract(v, r":=\s*(.*)$", 1)), r"\s+")
 
@@ -123,7 +128,9 @@ def table_rows(results: DataFrame, inputs: DataFrame, k: int, complements: bool
     Of several runs of a configuration the last counts; inputs labelled ``-`` are left out.
     """
     last = with_objective(results.where((F.col("k") == k) & (F.col("complements") == complements)))
-    last = last.groupBy("path", "algorithm", "run_penalty").agg(F.max_by(F.struct("length", "runs", "objective", "xz", "time_s", "mem_kib"), "ts").alias("r"))
+    # nothing else is shown; the log is parsed once and the last runs are written
+    last = last.where(((F.col("algorithm") == baseline) & F.col("run_penalty").isNull()) | (F.col("algorithm") == other))
+    last = cut(last.groupBy("path", "algorithm", "run_penalty").agg(F.max_by(F.struct("length", "runs", "objective", "xz", "time_s", "mem_kib"), "ts").alias("r")))
     named = inputs.where("label is not null and label <> '-'").select("file", "label", F.col("run_penalty").alias("penalty"))
     base = last.where((F.col("algorithm") == baseline) & F.col("run_penalty").isNull()).select(F.col("path").alias("file"), F.col("r").alias("b"))
     more = last.where(F.col("algorithm") == other).select(F.col("path").alias("file"), F.col("run_penalty").alias("penalty"), F.col("r").alias("o"))

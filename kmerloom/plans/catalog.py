@@ -809,7 +809,7 @@ SELECT label AS dataset, 'GGMO' AS method, b.length AS length, b.runs AS runs, b
 UNION ALL SELECT label, 'LOAC (' || penalty || ')', r.length, r.runs, r.objective, round(r.objective / b.objective, 6), r.xz FROM o""")
 def results_table(spark, sf_dir):
     """Relative is 1 for the baseline here; the written table leaves it empty."""
-    t = results.table_rows(_log(spark, sf_dir), _inputs(spark, sf_dir), 31)
+    t = results.table_rows(results.parse_log(_log_lines(spark, sf_dir), 31, True), _inputs(spark, sf_dir), 31)
     return t.select("dataset", "method", "length", "runs", "objective", F.coalesce(F.round("relative", 6), F.lit(1.0)).alias("relative"), "compressed")
 
 
