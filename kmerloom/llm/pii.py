@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data, on DataFrame functions only.
 
-Identifiers of fixed form (email, ip, card, phone) are the protected entities. A term that stands
-near them is judged by what the corpus says about it: the pointwise mutual information between
+Identifiers of fixed form (email, ip, card, phone) are the protected entities. A term of a text that
+holds one, at any place, is judged by what the corpus says about it: the pointwise mutual information between
 term and entity against the information of the entity itself. If a term gives away at least
 ``alpha`` of that information, it is a disclosure and becomes a span, too.
 """
@@ -26,8 +26,6 @@ PATTERNS = {
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = [*PATTERNS, "general", "removed"]
 WORD = r"[\p{L}\p{M}\p{N}]+"
-#: Code points on either side of an entity in which its context words are looked for.
-REACH = 160
 
 
 def _luhn(digits: Column) -> Column:
@@ -68,45 +66,40 @@ def _matches(text: Column, pattern: str, use) -> Column:
 
 
 def _entities(text: Column, kind: str) -> Column:
-    """Array of (kind, start, end, value, left, right); left and right are what stands around the entity."""
+    """Array of (kind, start, end, value)."""
 
     def build(hits: Column, gaps: Column, starts: Column) -> Column:
-        def one(i: Column) -> Column:
-            hit, start = F.get(hits, i), F.get(starts, i)
-            return F.struct(
-                F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("value"),
-                F.right(F.get(gaps, i), F.lit(REACH)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(REACH)).alias("right"),
-            )
+        def one(hit: Column, start: Column) -> Column:
+            return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("value"))
 
-        found = F.transform(F.sequence(F.lit(0), F.size(hits) - 1), one)
-        return F.filter(found, lambda e: _valid(kind, e["value"]))
+        return F.filter(F.zip_with(hits, starts, one), lambda e: _valid(kind, e["value"]))
 
-    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,value:string,left:string,right:string>>")
+    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,value:string>>")
     return F.coalesce(F.when(text.rlike(HINTS[kind]), _matches(text, PATTERNS[kind], build)), none)
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, k1, k2, found)``, one row per input row; null texts read as empty."""
+    """``docs(doc_id, text)`` -> ``(doc_id, k1, k2, found, held)``, one row per input row; null texts read as empty.
+
+    held is the text where an entity was found, else null.
+    """
     found = F.concat(*[_entities(F.col("text"), kind) for kind in PATTERNS])
-    return docs.select("doc_id", whole("text").alias("text")).select("doc_id", *text_key(), found.alias("found"))
+    rows = docs.select("doc_id", whole("text").alias("text")).select("doc_id", *text_key(), found.alias("found"), "text")
+    return rows.select("doc_id", "k1", "k2", "found", F.when(F.size("found") > 0, F.col("text")).alias("held"))
 
 
-def _context(found: DataFrame, words: int) -> DataFrame:
-    """``(k1, k2, entity, term, start, end)``: up to ``words`` words on each side of every entity."""
-    mention = found.select("k1", "k2", F.explode("found").alias("m")).select("k1", "k2", "m.*")
+def _is_term(term: Column) -> Column:
+    return (F.length(term) >= 3) & ~term.rlike("[0-9]")
 
-    def side(name: str, base: Column, take) -> Column:
-        def build(hits: Column, gaps: Column, starts: Column) -> Column:
-            every = F.arrays_zip(hits.alias("word"), starts.alias("at"))
-            return F.transform(take(every), lambda w: F.struct(F.lower(w["word"]).alias("term"), (base + w["at"]).alias("start"), (base + w["at"] + F.length(w["word"])).alias("end")))
 
-        none = F.array().cast("array<struct<term:string,start:bigint,end:bigint>>")
-        return F.coalesce(_matches(F.col(name), WORD, build), none)
+def _terms(texts: DataFrame) -> DataFrame:
+    """``(k1, k2, held)`` -> ``(k1, k2, term, start, end)``: every term at all its places in the text."""
+
+    def build(hits: Column, gaps: Column, starts: Column) -> Column:
+        return F.zip_with(hits, starts, lambda w, at: F.struct(F.lower(w).alias("term"), at.alias("start"), (at + F.length(w)).alias("end")))
 
-    left = side("left", F.col("start") - F.length("left"), lambda a: F.when(F.size(a) > words, F.slice(a, -words, words)).otherwise(a))
-    right = side("right", F.col("end"), lambda a: F.slice(a, 1, words))
-    near = mention.select("k1", "k2", F.concat_ws(":", "kind", "value").alias("entity"), F.explode(F.concat(left, right)).alias("t"))
-    return near.select("k1", "k2", "entity", "t.*").where((F.length("term") >= 3) & ~F.col("term").rlike("[0-9]"))
+    placed = texts.select("k1", "k2", F.explode(_matches(F.col("held"), WORD, build)).alias("t"))
+    return placed.select("k1", "k2", "t.*").where(_is_term(F.col("term")))
 
 
 def _stem(term: Column) -> Column:
@@ -114,21 +107,29 @@ def _stem(term: Column) -> Column:
     return F.left(term, F.lit(3))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, alpha: float, support: int, words: int) -> DataFrame:
-    """``(k1, k2, kind, start, end)`` of terms that give away an entity they stand near.
+def disclosures(docs: DataFrame, found: DataFrame, alpha: float, support: int) -> DataFrame:
+    """``(k1, k2, kind, start, end)`` of terms that give away an entity of their text, wherever they stand in it.
 
     Entities and pairs are counted over distinct texts, terms over all documents, so copies never make
     a term look more telling. A pair needs ``support`` distinct texts. A term whose stem stays below
     the threshold is generalised to the stem, else removed.
     """
-    near = cut(_context(found, words).distinct())
     total = docs.count()
+    held = found.where("held is not null")
+    every = held.select("k1", "k2", F.explode("found").alias("m")).select("k1", "k2", F.concat_ws(":", "m.kind", "m.value").alias("entity")).distinct()
+    # a pair has at most as many texts as its entity
+    entity = cut(every.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).where(F.col("entity_texts") >= support))
+    mention = cut(every.join(entity, "entity"))
+    # the share can reach alpha only for terms of few enough documents: a pair has no more texts than its entity
+    most = F.pow(F.lit(float(max(total, 1))), F.lit(1 - alpha)) * F.pow(F.max("entity_texts").cast("double"), F.lit(alpha)) * (1 + 1e-9)
+    texts = mention.groupBy("k1", "k2").agg(most.alias("most"))
+    placed = cut(_terms(held.join(texts, ["k1", "k2"], "left_semi").select("k1", "k2", "held").dropDuplicates(["k1", "k2"])))
     spoken = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(whole()), F.lit(WORD), F.lit(0)))).alias("term"))
-    vocabulary = cut(spoken.where((F.length("term") >= 3) & ~F.col("term").rlike("[0-9]")).groupBy("term").agg(F.count(F.lit(1)).alias("in_docs")))
+    vocabulary = cut(spoken.where(_is_term(F.col("term"))).groupBy("term").agg(F.count(F.lit(1)).alias("in_docs")))
     stems = vocabulary.groupBy(_stem(F.col("term")).alias("stem")).agg(F.sum("in_docs").alias("stem_docs"))
-    entity = near.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts"))
-    pair = near.select("entity", "term", "k1", "k2").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    stem_pair = near.select("entity", _stem(F.col("term")).alias("stem"), "k1", "k2").distinct().groupBy("entity", "stem").agg(F.count(F.lit(1)).alias("stem_both"))
+    rare = placed.select("k1", "k2", "term").distinct().join(vocabulary.where(F.col("in_docs") >= support), "term").join(texts, ["k1", "k2"]).where("in_docs <= most")
+    pair = mention.join(rare.select("k1", "k2", "term", "in_docs"), ["k1", "k2"])
+    pair = pair.groupBy("entity", "entity_texts", "term", "in_docs").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
 
     def told(both: str, alone: str) -> Column:
         """Share of the entity's information that the term carries."""
@@ -136,22 +137,25 @@ def disclosures(docs: DataFrame, found: DataFrame, alpha: float, support: int, w
         mutual = F.log2(F.lit(total) * F.col(both) / (F.col("entity_texts") * F.col(alone)))
         return F.when(information > 0, mutual / information).otherwise(0.0)
 
-    judged = pair.join(entity, "entity").join(vocabulary, "term").where(told("both", "in_docs") >= alpha)
-    judged = judged.withColumn("stem", _stem(F.col("term"))).join(stem_pair, ["entity", "stem"]).join(stems, "stem")
+    judged = cut(pair.where(told("both", "in_docs") >= alpha).withColumn("stem", _stem(F.col("term"))))
+    asked = judged.select("entity", "stem").distinct()
+    spoken_stems = placed.select("k1", "k2", _stem(F.col("term")).alias("stem")).distinct()
+    stem_pair = mention.join(asked, "entity").join(spoken_stems, ["k1", "k2", "stem"]).groupBy("entity", "stem").agg(F.count(F.lit(1)).alias("stem_both"))
+    judged = judged.join(stem_pair, ["entity", "stem"]).join(stems, "stem")
     kind = F.when(told("stem_both", "stem_docs") < alpha, KINDS.index("general")).otherwise(KINDS.index("removed"))
-    ruled = judged.select("entity", "term", kind.alias("kind"))
-    return near.join(ruled, ["entity", "term"]).groupBy("k1", "k2", "start", "end").agg(F.max("kind").alias("kind")).select("k1", "k2", "kind", "start", "end")
+    ruled = mention.join(judged.select("entity", "term", kind.alias("kind")), "entity").groupBy("k1", "k2", "term").agg(F.max("kind").alias("kind"))
+    return placed.join(ruled, ["k1", "k2", "term"]).select("k1", "k2", "kind", "start", "end")
 
 
-def spans(docs: DataFrame, alpha: float = 0.9, support: int = 3, words: int = 8) -> DataFrame:
+def spans(docs: DataFrame, alpha: float = 0.9, support: int = 3) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, k1, k2, base, terms)``, arrays of (kind, start, end) in order of kind and start.
 
     Offsets are code points, end exclusive. Null and empty texts have empty arrays, repeated rows give
     repeated rows, null doc_ids stay null, other columns are not looked at. Term spans never overlap
-    base spans; with equal start and end one term span is kept.
+    base spans. Terms are looked for in the whole text, however far from the entity.
     """
     found = cut(entities(docs))
-    told = disclosures(docs.select("text"), found, alpha, support, words)
+    told = disclosures(docs.select("text"), found, alpha, support)
     listed = told.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("told"))
     base = F.array_sort(F.transform("found", lambda e: F.struct(e["kind"], e["start"], e["end"])))
     joined = found.select("doc_id", "k1", "k2", base.alias("base")).join(listed, ["k1", "k2"], "left")

@@ -59,6 +59,18 @@ def test_telling_terms_are_removed_and_common_ones_stay(spark):
     assert "zanzibar" not in clean[0] and "[email]" in clean[0] and clean[20] == texts[20]
 
 
+def test_terms_far_from_their_entity_are_found(spark):
+    filler = " ".join(f"plain words of every day {'ab'[i % 2]}" for i in range(120))
+    texts = [f"zanzibar zanzibar {filler} ann@corp.example {i} {filler} quokka" for i in range(4)]
+    texts += [f"a text {filler} {i}" for i in range(40)]
+    rows = {r["doc_id"]: r for r in pii.spans(frame(spark, rows_of(texts))).collect()}
+    for i in range(4):
+        told = sorted((s["start"], s["end"]) for s in rows[i]["terms"])
+        at = texts[i].index("quokka")
+        assert told == [(0, 8), (9, 17), (at, at + 6)]
+    assert all(not rows[i]["terms"] for i in range(4, 44))
+
+
 def test_fingerprints_and_edits(spark, corpus):
     got = {r["doc_id"]: r for r in winnow.query(frame(spark, rows_of(corpus))).collect()}
     ids = sorted(got, reverse=True)
