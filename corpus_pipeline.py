@@ -16,7 +16,8 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 of the five-word shingles), the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (0.8 of the five-word shingles), the one with the smallest doc_id. SimHash
+    fingerprints that meet at an anchor are checked first; MinHash buckets find what they can't tell."""
     ship_package(spark)
     return simhash.keep_one(docs, width=5, similarity=0.8)
 

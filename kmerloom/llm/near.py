@@ -14,6 +14,8 @@ whose sketches of one bit per minimum do not fit are not even made (``most_unequ
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -192,11 +194,19 @@ def _sketches(nodes: DataFrame, signs: DataFrame) -> DataFrame:
     return signs.join(nodes, "node", "left_semi").select("node", F.pandas_udf(pack, "array<long>")("sig").alias("sketch"))
 
 
-def links(marked: DataFrame, width: int, least: float) -> DataFrame | None:
+def links(marked: DataFrame, width: int, least: float, first_pairs: DataFrame | None = None) -> DataFrame | None:
     """``marked(node, text, sig, keys)`` -> links ``(u, v)``, u < v, whose components are those of all pairs that are similar enough.
 
-    Rows of one node are copies. Only texts that share a bucket with another one move.
+    ``first_pairs(u, v)`` are checked before any others. Rows of one node are copies. Only texts that share a bucket with another one move.
     """
+    known, n = None, 0
+    if first_pairs is not None:
+        first_pairs, n = cut_counted(first_pairs)
+    if n:
+        named = first_pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        there = cut(marked.select("node", "text", "sig").join(named, "node", "left_semi").dropDuplicates(["node"]))
+        known = cut(_verified(first_pairs, there.select("node", "sig"), there.select("node", "text"), width, least))
+        drop(there)
     members = marked.select(F.explode("keys").alias("key"), "node")
     shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
     members = cut(members.distinct().join(shared, "key"))
@@ -207,7 +217,7 @@ def links(marked: DataFrame, width: int, least: float) -> DataFrame | None:
     meets = members.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("meets"))
     plain, members = members, cut(members.join(meets, "node"))
     drop(plain)
-    held_members, found, tried, before = members, None, None, None
+    held_members, found, tried, before = members, known, first_pairs if n else None, None
     for turn in range(ROUNDS):
         every = cut(_rooted(members, found))
         rooted, n = cut_counted(_apart(every))
@@ -249,16 +259,16 @@ def links(marked: DataFrame, width: int, least: float) -> DataFrame | None:
     return found
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, candidates: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, component_id)``, one row per input row.
 
     component_id is the smallest doc_id that chains of links reach. Texts of equal words are one node, so
     copies are never paired; null and empty texts are copies of each other. Rows without doc_id keep a
-    null doc_id and count only as members.
+    null doc_id and count only as members. ``candidates`` names pairs of nodes of (node, text) to be checked first.
     """
     marked = cut(_signed(docs.select("doc_id", "text"), width))
     named = cut(marked.groupBy("node").agg(F.min("doc_id").alias("low")))
-    found = links(marked, width, least)
+    found = links(marked, width, least, candidates(marked) if candidates else None)
     if found is None:
         return marked.select("doc_id", "node").join(named, "node").select("doc_id", F.col("low").alias("component_id"))
     named = named.join(components(found), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))

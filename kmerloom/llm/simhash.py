@@ -114,16 +114,33 @@ def near_duplicates(docs: DataFrame, threshold: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: int = 2, width: int = 3, similarity: float | None = None) -> DataFrame:
     """The documents without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    With ``similarity`` documents link by the share of common shingles of ``width`` words, which
-    64 majority bits can't tell (0.8 is some ten bits), else by ``threshold`` bits of the fingerprint,
-    whose shingles have three words. Rows without doc_id stay. Repeated rows of the kept doc_id collapse to one.
+    Documents link by ``threshold`` bits of the fingerprint, whose shingles have three words, found at the anchors. With
+    ``similarity`` what meets there is checked exactly, by the share of common shingles of ``width`` words, and texts that share as
+    much but have other fingerprints (64 majority bits can't tell 0.8, some ten bits) are linked after that. Rows without doc_id
+    stay. Repeated rows of the kept doc_id collapse to one.
     """
-    groups = near_duplicates(docs, threshold) if similarity is None else near.near_duplicates(docs, width, similarity)
+    if similarity is None:
+        groups = near_duplicates(docs, threshold)
+    else:
+        groups = near.near_duplicates(docs, width, similarity, lambda marked: met(marked, threshold))
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     first = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     return first.unionByName(docs.where("doc_id is null"))
 
 
+def met(marked: DataFrame, threshold: int = 2) -> DataFrame:
+    """``marked(node, text)`` -> pairs ``(u, v)``, u < v, of texts whose fingerprints meet at an anchor.
+
+    Texts of one fingerprint are paired with one of them, which alone is paired with those of other fingerprints.
+    """
+    prints = cut(with_fingerprint(marked.select("node", "text")).select("node", "fp").distinct())
+    leaders = cut(prints.groupBy("fp").agg(F.min("node").alias("leader")))
+    same = prints.join(leaders, "fp").where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    one, two = (leaders.select(F.col("fp").alias(c), F.col("leader").alias(n)) for c, n in (("u", "a"), ("v", "b")))
+    other = links(leaders.select("fp"), threshold).join(one, "u").join(two, "v").select("a", "b")
+    return same.unionByName(other).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct()
+
+
 def query(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -1,10 +1,11 @@
+import itertools
 import random
 import string
 
 import pytest
 
 import corpus_pipeline
-from kmerloom.llm import decontaminate, near, toxicity
+from kmerloom.llm import decontaminate, near, simhash, toxicity
 from tests.llm import brute
 
 
@@ -107,6 +108,29 @@ def test_near_copies_from_a_similarity_of_four_fifths_go(spark):
     assert sum(0.8 <= s <= 0.9 for s in alike.values()) > 10 and min(alike.values()) < 0.6
 
 
+def test_near_dedup_starts_from_the_anchors(spark, monkeypatch):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices(string.ascii_lowercase, k=6)) for _ in range(900)]
+    texts = [" ".join(rnd.choices(words, k=150)) for _ in range(30)]
+    texts += [t + " end" for t in texts[:10]] + ["one two", "", "One  two"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    pairs, real = [], simhash.met
+
+    def seen(marked, threshold):
+        out = real(marked, threshold)
+        pairs.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "met", seen)
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    prints = [(i, brute.simhash(t)) for i, t in enumerate(texts)]
+    close = sum(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for (i, a), (j, b) in itertools.combinations(prints, 2) if texts[i].lower().split() != texts[j].lower().split())
+    assert len(pairs) == close >= 3
+    groups = brute.near_classes([(i, t) for i, t, *_ in rows])
+    assert kept == {i for (i, *_), g in zip(rows, groups) if i == g}
+
+
 ODD = "doc_id long, text string, node string, keys string, sig int, u string, root int"
 
 
