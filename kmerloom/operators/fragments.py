@@ -72,10 +72,11 @@ def from_sequences(seqs: DataFrame, k: int, complements: bool) -> DataFrame:
 def _joined_runs(runs: DataFrame, k: int, complements: bool) -> DataFrame:
     """Fragments of runs that follow each other without a gap in one chunk."""
     near = Window.partitionBy("rec", "chunk").orderBy("pos")
-    runs = runs.withColumn("chunk", F.expr(f"(pos - 1) div {CHUNK}"))
+    # spelled before the windows: what an aggregate collects is not compiled
+    runs = runs.select("rec", "pos", "windows", run_text(k).alias("text")).withColumn("chunk", F.expr(f"(pos - 1) div {CHUNK}"))
     runs = runs.withColumn("new", F.coalesce(F.lag(F.col("pos") + F.col("windows")).over(near) != F.col("pos"), F.lit(True)))
     runs = runs.withColumn("grp", F.sum(F.col("new").cast("int")).over(near))
-    runs = runs.select("rec", "chunk", "grp", F.struct("pos", run_text(k).alias("text")).alias("run"))
+    runs = runs.select("rec", "chunk", "grp", F.struct("pos", "text").alias("run"))
     joined = runs.groupBy("rec", "chunk", "grp").agg(F.array_sort(F.collect_list("run")).alias("p"))
     rest = F.array_join(F.transform(F.slice("p", 2, CHUNK), lambda x: F.substring(x["text"], k, CHUNK)), "")
     frags = joined.select(F.concat(F.col("p")[0]["text"], rest).alias("body"))

@@ -16,7 +16,7 @@ from kmerloom.functions import kmers as K
 from kmerloom.functions import text as T
 from kmerloom.operators import bound, bounded, convert, extract, masks, overlaps, prefixes, results, superstrings, unitigs
 from kmerloom.plans.runtime import cut
-from kmerloom.streaming.superstring import streaming_superstring
+from kmerloom.streaming.superstring import streaming_superstring, superstring_lines
 
 SEP = "NCGTACGTACGTACGT"
 PLAIN = "ACGTACGTACGTACGT"
@@ -580,9 +580,8 @@ def ms_scan(spark, sf_dir):
     from kmerloom.plans.runtime import scratch_path
     from kmerloom.sources.fasta import read_superstring, write_superstring
 
-    s = streaming_superstring(dna(spark, sf_dir, "conversations", PLAIN), KM, False)
     path = scratch_path(spark)
-    write_superstring(s.select(F.col("rec").alias("part"), F.col("pos").alias("rank"), "piece"), KM, path)
+    write_superstring(cut(superstring_lines(dna(spark, sf_dir, "conversations", PLAIN), KM, False)), KM, path)
     return _decoded_pieces(read_superstring(spark, path), KM, False)
 
 

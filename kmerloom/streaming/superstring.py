@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kmerloom.functions.kmers import codec
-from kmerloom.operators.extract import CHUNK, windows
+from kmerloom.operators.extract import CHUNK, first_runs, in_bins, run_text, windows
 from kmerloom.operators.fragments import first_occurrences
 from kmerloom.plans.runtime import cut
 
@@ -39,6 +39,26 @@ def render_first(new: DataFrame, k: int) -> DataFrame:
     return spots.select("rec", "pos", piece.alias("piece"))
 
 
+def superstring_lines(seqs: DataFrame, k: int, complements: bool = True) -> DataFrame:
+    """``streaming_superstring`` with one piece per chunk: (part, rank, piece), part being rec.
+
+    Where k-mers go by bins, runs of neighbouring first occurrences come out of them whole, so no k-mer has a row of its own.
+    """
+    chunk = F.expr(f"(pos - 1) div {CHUNK}")
+    if in_bins(k):
+        near_start = F.expr(f"(pos - 1) % {CHUNK} < {k} and pos > {CHUNK}")
+        # spelled before the window: what an aggregate collects is not compiled
+        spots = first_runs(seqs, k, complements).select("rec", "pos", "windows", run_text(k).alias("text")).withColumn("spot", F.explode(F.when(near_start, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))))
+        ahead = F.lead("pos").over(Window.partitionBy("rec", "spot").orderBy("pos")) - (F.col("pos") + F.col("windows") - 1)
+        spots = spots.withColumn("gap", F.least(F.coalesce(ahead, F.lit(k)), F.lit(k)).cast("int")).where(F.col("spot") == chunk)
+        ones = F.col("windows").cast("int")
+        pieces = spots.select("rec", "pos", F.concat(F.left("text", ones), F.lower(F.substring("text", ones + 1, F.col("gap") - 1))).alias("piece"))
+    else:
+        pieces = streaming_superstring(seqs, k, complements)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
+    return pieces.groupBy(F.col("rec").alias("part"), chunk.alias("rank")).agg(joined.alias("piece"))
+
+
 def write_stream(seqs: DataFrame, k: int, folder: str, complements: bool = True) -> StreamingQuery:
     """Streaming (rec, seq) -> the superstring of all records so far, in ``folder``, trigger by trigger.
 

@@ -1,9 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from kmerloom.functions.kmers import decode, encode
 from kmerloom.operators import extract, fragments
 from kmerloom.operators.extract import CHUNK
+from kmerloom.streaming.superstring import streaming_superstring, superstring_lines
 
 
 def rc(s):
@@ -47,3 +50,26 @@ def test_runs_move_little(spark):
     df = spark.createDataFrame(records(1), "rec long, seq string")
     sent = extract.stretches(df, 31, True, placed=True, once=True)
     assert sent.count() * 4 < extract.windows(df, 31, True).count()
+
+
+@pytest.mark.parametrize("k", [11, 31, 41])
+@pytest.mark.parametrize("both", [True, False])
+def test_superstring_has_one_line_per_chunk(spark, k, both):
+    """The lines spell what the pieces of single k-mers do; before, each k-mer was a line."""
+    df = spark.createDataFrame(records(k), "rec long, seq string").repartition(3)
+    want = {}
+    for r in sorted(streaming_superstring(df, k, both).collect()):
+        want[r.rec] = want.get(r.rec, "") + r.piece
+    lines = sorted(superstring_lines(df, k, both).collect())
+    got = {}
+    for r in lines:
+        got[r.part] = got.get(r.part, "") + r.piece
+    assert got == want
+    assert len(lines) <= sum(len(seq) // CHUNK + 1 for _, seq in records(k))
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 16, 24, 31])
+def test_packed_words_are_spelled_as_they_were_packed(spark, n):
+    words = {"".join(random.Random(i).choices("ACGT", k=n)) for i in range(200)} | {"A" * n, "T" * n}
+    t = spark.createDataFrame([(w,) for w in words], "w string").withColumn("x", encode(F.col("w")))
+    assert t.where(decode(F.col("x"), n) != F.col("w")).count() == 0
