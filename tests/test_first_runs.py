@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions.kmers import decode, encode
-from kmerloom.operators import extract, fragments
+from kmerloom.operators import extract, fragments, matching, superstrings
 from kmerloom.operators.extract import CHUNK
 from kmerloom.streaming.superstring import streaming_superstring, superstring_lines
 
@@ -73,3 +73,18 @@ def test_packed_words_are_spelled_as_they_were_packed(spark, n):
     words = {"".join(random.Random(i).choices("ACGT", k=n)) for i in range(200)} | {"A" * n, "T" * n}
     t = spark.createDataFrame([(w,) for w in words], "w string").withColumn("x", encode(F.col("w")))
     assert t.where(decode(F.col("x"), n) != F.col("w")).count() == 0
+
+
+def test_levels_rank_small_words_at_once(spark, monkeypatch):
+    """Whether ranks are taken in parts goes by the counted ends of a word; before, all overlaps below k - 8 were. The result is the same."""
+    df = spark.createDataFrame(records(5), "rec long, seq string")
+    frags = fragments.from_sequences(df, 31, True)
+    m = matching.Matcher(31, True).start(frags)
+    assert not m._small(22)
+    m.level(30)
+    overlap, most = m.largest
+    assert overlap == 30 and 0 < most <= 4  # a word and its complement start and end four k-mers each
+    assert m._small(22) and not m._small(2)
+    got = sorted(superstrings.local_greedy(df, 31, 9).collect())
+    monkeypatch.setattr(matching, "UNSALTED_ENDS", -1)
+    assert got == sorted(superstrings.local_greedy(df, 31, 9).collect())
