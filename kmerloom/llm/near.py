@@ -19,7 +19,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.llm.components import components
@@ -159,10 +159,15 @@ def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
 
 
+def _several(members: DataFrame, of: str) -> DataFrame:
+    """The members of buckets that hold more than one value of a column. Members move once, and without a second table of the buckets."""
+    bucket = Window.partitionBy("key")
+    return members.withColumns({"least": F.min(of).over(bucket), "most": F.max(of).over(bucket)}).where("least < most").drop("least", "most")
+
+
 def _apart(rooted: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one component."""
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-    return rooted.join(mixed, "key")
+    return _several(rooted, "root")
 
 
 def _fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
@@ -177,11 +182,7 @@ def _plus(table: DataFrame | None, more: DataFrame) -> DataFrame:
 def _narrow(nodes: DataFrame, signs: DataFrame) -> DataFrame:
     """``(key, node)`` of the narrow buckets with several nodes."""
     name = F.pandas_udf(lambda sigs: pd.Series([buckets(np.frombuffer(x, dtype="<u2"), _NARROW) for x in sigs]), "array<long>")
-    members = cut(signs.join(nodes, "node", "left_semi").select("node", F.explode(name("sig")).alias("key")))
-    shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    out = cut(members.join(shared, "key"))
-    drop(members)
-    return out
+    return cut(_several(signs.join(nodes, "node", "left_semi").select(F.explode(name("sig")).alias("key"), "node"), "node"))
 
 
 def _sketches(nodes: DataFrame, signs: DataFrame) -> DataFrame:
@@ -207,9 +208,7 @@ def links(marked: DataFrame, width: int, least: float, first_pairs: DataFrame |
         there = cut(marked.select("node", "text", "sig").join(named, "node", "left_semi").dropDuplicates(["node"]))
         known = cut(_verified(first_pairs, there.select("node", "sig"), there.select("node", "text"), width, least))
         drop(there)
-    members = marked.select(F.explode("keys").alias("key"), "node")
-    shared = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
-    members = cut(members.distinct().join(shared, "key"))
+    members = cut(_several(marked.select(F.explode("keys").alias("key"), "node").distinct(), "node"))
     held = cut(marked.select("node", "text", "sig").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
     texts, signs = held.select("node", "text"), held.select("node", "sig")
     # how many others a node meets in all its buckets

@@ -191,3 +191,12 @@ def test_recall_by_similarity(spark):
         here = [i for i, s in want.items() if low <= s < high]
         print(f"similarity {low} to {high}: {sum(i in linked for i in here)} of {len(here)} linked")
         assert len(here) > 20 and sum(i in linked for i in here) >= 0.98 * len(here)
+
+
+def test_members_of_buckets_move_once(spark):
+    """Buckets with several roots are found where their members are sent, without a second table of the buckets to join."""
+    rows = [(1, 10, 5), (1, 11, 5), (2, 10, 5), (2, 12, 6), (3, 13, 7), (4, 14, 8), (4, 15, 9), (4, 16, 8)]
+    out = near._apart(spark.createDataFrame(rows, "key long, node long, root long"))
+    assert sorted(tuple(r) for r in out.collect()) == [r for r in rows if r[0] in (2, 4)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
