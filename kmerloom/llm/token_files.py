@@ -21,9 +21,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,7 +39,11 @@ MAGIC = b"TOKBITS1"
 #: Ids per block; a multiple of eight.
 BLOCK = 1 << 16
 #: Bytes of text whose words are looked up at once.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 23
+#: Parts of words of a generation that a worker keeps.
+HELD = 300_000
+#: Words whose ids are put together at once.
+WORDS = 1 << 20
 #: UTF-8 bytes of text that a file stands for on average.
 FILE_TEXT = 32 << 20
 _TRAILER = struct.Struct("<QQQQII8s")
@@ -109,7 +115,8 @@ class Encoder:
     Its pieces never cross white space, so a text's words are encoded alone. Words are told apart at
     ASCII white space only; names of special tokens inside texts are special tokens, as the tokenizer does by itself. A word
     of printable Latin letters is cut by the tokenizer's own pattern and its parts, which many words share, go to the model;
-    other words, and all words of a tokenizer without such a pattern, go through the whole tokenizer.
+    other words, and all words of a tokenizer without such a pattern, go through the whole tokenizer. Each distinct word of a group of
+    texts is cut up once, and a bounded memory keeps the ids of parts.
     """
 
     def __init__(self, place: str):
@@ -123,40 +130,72 @@ class Encoder:
         self.lowers = all(normal(f"a{c}a") == f"a{c}a".lower() for c in latin if c != " ")
         every = "".join(filter(str.isalpha, latin))
         self.letters_stay = self.pattern is not None and self.pattern.findall(every) == [every]
-        self.memory, self.parts = vocab.Memory(self._fresh), vocab.Memory(self._parts)
+        self.odd, self.parts = vocab.Memory(self._whole), vocab.Memory(self._parts, HELD)
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         spelled = [p if p.isascii() else p.encode().decode("latin-1").translate(_LETTERS) for p in parts]
         return [array("I", [t.id for t in self.model.tokenize(p)]).tobytes() for p in spelled]
 
-    def _fresh(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        known: dict[int, bytes] = {}
-        if self.pattern is not None and self.lowers:
-            odd, alone = vocab.BEYOND_LATIN.search, self.letters_stay
-            named = [n for n in self.added if any(n in t for t in texts)]
-            plain = [i for i, t in enumerate(texts) if not odd(t) and not any(n in t for n in named)]
-            normal = " ".join([texts[i] for i in plain]).lower().split(" ") if plain else []
-            cut_up = [[t] if alone and t.isalpha() else self.pattern.findall(t) for t in normal]
-            ids, at = self.parts.of([p for ps in cut_up for p in ps]), 0
-            for i, ps in zip(plain, cut_up, strict=True):
-                stop = at + len(ps)
-                known[i] = ids[at] if stop == at + 1 else b"".join(ids[at:stop])
-                at = stop
-        rest = [i for i in range(len(words)) if i not in known]
-        if rest:
-            found = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
-            known.update((i, array("I", e.ids).tobytes()) for i, e in zip(rest, found, strict=True))
-        return [known[i] for i in range(len(words))]
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has."""
+        odd, joined = vocab.BEYOND_LATIN.search, " ".join(words)
+        if self.pattern is None or not self.lowers:
+            plain = np.zeros(len(words), dtype=bool)
+        elif odd(joined) or any(n in joined for n in self.added):
+            plain = np.array([(t.isascii() and t.isprintable() or not odd(t)) and not any(n in t for n in self.added) for t in words], dtype=bool)
+        else:
+            plain = np.ones(len(words), dtype=bool)
+        # parts of plain words; any other word is the only part of itself
+        sizes = np.ones(len(words), dtype=np.int64)
+        normal = (joined if plain.all() else " ".join(compress(words, plain))).lower().split(" ") if plain.any() else []
+        alone = self.letters_stay
+        cut_up = [[t] if alone and t.isalpha() else self.pattern.findall(t) for t in normal]
+        sizes[plain] = list(map(len, cut_up))
+        told = pa.array(chain.from_iterable(cut_up), pa.string()).dictionary_encode()
+        known = self.parts.of(told.dictionary.to_pylist())
+        units = np.empty(sizes.sum(), dtype=np.int64)
+        of_plain = np.repeat(plain, sizes)
+        units[of_plain] = told.indices.to_numpy()
+        units[~of_plain] = np.arange(len(words) - len(normal)) + len(known)
+        known += self.odd.of(list(compress(words, ~plain)))
+        ids, starts, lengths = _listed(known)
+        n = np.concatenate(([0], np.cumsum(lengths[units])))
+        ends = np.cumsum(sizes)
+        return np.frombuffer(_gathered(ids, starts, lengths, units), dtype="<u4"), n[ends] - n[ends - sizes]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as u32."""
-        words = [t.split() for t in texts]
-        found, out, at = self.memory.of([w for ws in words for w in ws]), [], 0
-        for ws in words:
-            out.append(b"".join(found[at : at + len(ws)]))
-            at += len(ws)
-        return out
+        """The ids of each text as u32. Arrow tells words and their parts apart, so that each distinct one is looked up once."""
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        told = words.values.dictionary_encode()
+        distinct = told.dictionary
+        if not len(distinct):
+            return [b""] * len(texts)
+        # words hold no space; an empty one, next to white space at the ends, has no ids
+        line = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), " ")[0].as_buffer().to_pybytes()
+        ids, sizes = self._of_words(line.decode("utf-8", "replace").split(" "))
+        starts = np.cumsum(sizes) - sizes
+        places, bounds = told.indices.to_numpy(), words.offsets.to_numpy()
+        return [_gathered(ids, starts, sizes, places[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+def _listed(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids one after the other, where those of each entry start, and how many they are."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes, sizes
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> bytes:
+    """The ids of the entries at these places of a list."""
+    out = []
+    for at in range(0, len(places), WORDS):
+        part = places[at : at + WORDS]
+        n = sizes[part]
+        ends = np.cumsum(n)
+        out.append(ids[np.repeat(starts[part] - ends + n, n) + np.arange(ends[-1])].tobytes())
+    return b"".join(out)
 
 
 def _word_pattern(place: str):

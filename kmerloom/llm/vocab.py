@@ -41,26 +41,23 @@ class Memory:
     Two generations are kept: what is not asked for again while a new one fills up is forgotten.
     """
 
-    def __init__(self, compute: Callable[[list], Iterable]):
-        self.compute, self.held, self.older = compute, {}, {}
+    def __init__(self, compute: Callable[[list], Iterable], most: int | None = None):
+        self.compute, self.held, self.older, self.most = compute, {}, {}, most
 
     def of(self, wanted: list) -> list:
         """Results of the stretches in order."""
         found = list(map(self.held.get, wanted))
         if None not in found:
             return found
-        places = [i for i, r in enumerate(found) if r is None]
-        older, new, fresh = self.older, dict.fromkeys([wanted[i] for i in places]), []
-        for w in new:
-            new[w] = r = older.get(w)
-            if r is None:
-                fresh.append(w)
-        new.update(zip(fresh, self.compute(fresh), strict=True))
-        for i in places:
-            found[i] = new[wanted[i]]
-        if len(self.held) + len(new) > HELD:
+        names = list(dict.fromkeys([w for w, r in zip(wanted, found, strict=True) if r is None]))
+        again = list(map(self.older.get, names))
+        fresh = [w for w, r in zip(names, again, strict=True) if r is None]
+        computed = iter(self.compute(fresh))
+        new = dict(zip(names, [next(computed) if r is None else r for r in again], strict=True))
+        found = [new[w] if r is None else r for w, r in zip(wanted, found, strict=True)]
+        if len(self.held) + len(new) > (HELD if self.most is None else self.most):
             self.held, self.older = {}, self.held
-        self.held.update([(w, r) for w, r in new.items() if len(w) <= LONG])
+        self.held.update(new if max(map(len, names)) <= LONG else {w: r for w, r in new.items() if len(w) <= LONG})
         return found
 
 

@@ -263,3 +263,16 @@ def test_memory_of_stretches_forgets_but_does_not_change(monkeypatch):
     for words in (["a", "b", "a"], ["c", "d"], ["a", "e", "e", "f"], []):
         assert memory.of(words) == [w.upper() for w in words]
     assert len(memory.held) <= 3 and len(memory.older) <= 3
+
+
+def test_words_and_their_parts_are_looked_up_once_a_group(monkeypatch):
+    encoder, asked = token_files.Encoder(vocab.path("word_bpe_49k.json")), []
+    plain = vocab.Memory.of
+    monkeypatch.setattr(vocab.Memory, "of", lambda self, wanted: asked.append(len(wanted)) or plain(self, wanted))
+    texts = ["Walnut, walnut! (WALNUT) don't 42\x0bd\u00e9j\u00e0 \u4e2d\u6587 walnut<|endoftext|>x " * 500, "", " \t\n", " walnut\x1cwalnut\u00a0walnut\x85 "]
+    found = encoder.ids([t.encode() for t in texts])
+    assert [np.frombuffer(i, dtype="<u4").tolist() + [1] for i in found] == brute_tokens(list(enumerate(texts)))
+    assert sum(asked) < 40
+    assert encoder.ids([b"", b" "]) == [b"", b""] and encoder.ids([]) == []
+    broken = b"walnut \xff\xfe walnut\xe4\xb8 walnut"
+    assert encoder.ids([broken]) == encoder.ids([broken.decode("utf-8", "replace").encode()])
