@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.plans.runtime import cut_counted
+from kmerloom.plans.runtime import cut_observed, drop
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
@@ -32,13 +32,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Rows only ever move towards smaller nodes, so a component becomes a star in a logarithmic number
     of rounds in practice; no step gathers a component in one row or task. Self links and repeated links are allowed, nulls are not.
+    The table behind the result can be deleted by ``drop``.
     """
-    links, n = cut_counted(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while n:
-        links, n = cut_counted(_small_star(_large_star(links).where("u <> v").distinct()))
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state:
+    figures = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")
+    links, state = cut_observed(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *figures)
+    while state["n"]:
+        before, old = links, state
+        links, state = cut_observed(_small_star(_large_star(before).where("u <> v").distinct()), *figures)
+        drop(before)
+        if state == old:
             break
-        state = now
-    return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v").distinct())
+    out = links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select("v", "v").distinct())
+    out._kmerloom_path = links._kmerloom_path
+    return out

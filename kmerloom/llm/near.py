@@ -148,15 +148,19 @@ def _verified(pairs: DataFrame, signs: DataFrame, texts: DataFrame, width: int,
         return pd.Series([similarity(items(x), items(y)) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
 
     likely = cut(_both(pairs, signs, "sig").where(F.pandas_udf(may, "boolean")("u_sig", "v_sig")).select("u", "v"))
-    return _both(likely, texts, "text").where(F.pandas_udf(close, "boolean")("u_text", "v_text")).select("u", "v")
+    out = cut(_both(likely, texts, "text").where(F.pandas_udf(close, "boolean")("u_text", "v_text")).select("u", "v"))
+    drop(likely)
+    return out
 
 
 def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
     """Add ``root``, the root of the node's component."""
     if found is None:
         return members.withColumn("root", F.col("node"))
-    roots = components(found).select("node", F.col("root").alias("r"))
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r")
+    roots = components(found)
+    out = cut(members.join(roots.select("node", F.col("root").alias("r")), "node", "left").withColumn("root", F.coalesce("r", "node")).drop("r"))
+    drop(roots)
+    return out
 
 
 def _several(members: DataFrame, of: str) -> DataFrame:
@@ -199,17 +203,21 @@ def links(marked: DataFrame, width: int, least: float, first_pairs: DataFrame |
     """``marked(node, text, sig, keys)`` -> links ``(u, v)``, u < v, whose components are those of all pairs that are similar enough.
 
     ``first_pairs(u, v)`` are checked before any others. Rows of one node are copies. Only texts that share a bucket with another one move.
+    The tables of this search are deleted as soon as nothing reads them any more, ``marked`` among them if it is a ``cut``.
     """
-    known, n = None, 0
+    known, n, done = None, 0, []
     if first_pairs is not None:
         first_pairs, n = cut_counted(first_pairs)
+        done.append(first_pairs)
     if n:
         named = first_pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
         there = cut(marked.select("node", "text", "sig").join(named, "node", "left_semi").dropDuplicates(["node"]))
-        known = cut(_verified(first_pairs, there.select("node", "sig"), there.select("node", "text"), width, least))
+        known = _verified(first_pairs, there.select("node", "sig"), there.select("node", "text"), width, least)
         drop(there)
     members = cut(_several(marked.select(F.explode("keys").alias("key"), "node").distinct(), "node"))
     held = cut(marked.select("node", "text", "sig").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    drop(marked)
+    done.append(held)
     texts, signs = held.select("node", "text"), held.select("node", "sig")
     # how many others a node meets in all its buckets
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
@@ -218,13 +226,14 @@ def links(marked: DataFrame, width: int, least: float, first_pairs: DataFrame |
     drop(plain)
     held_members, found, tried, before = members, known, first_pairs if n else None, None
     for turn in range(ROUNDS):
-        every = cut(_rooted(members, found))
+        every = _rooted(members, found)
         rooted, n = cut_counted(_apart(every))
         drop(every)
         drop(held_members)
         members, held_members = rooted.drop("root"), rooted
         if n == 0:
-            return found
+            done.append(rooted)
+            return _without(done, found)
         if before is not None and n > (1 - WORTH) * before:
             break
         before = n
@@ -236,25 +245,38 @@ def links(marked: DataFrame, width: int, least: float, first_pairs: DataFrame |
         pairs, n = cut_counted(_fresh(pairs, tried))
         if n:
             tried = _plus(tried, pairs)
-            found = _plus(found, cut(_verified(pairs, signs, texts, width, least)))
+            done.append(pairs)
+            found = _plus(found, _verified(pairs, signs, texts, width, least))
     narrow = _narrow(members.select("node").distinct(), signs)
     drop(held_members)
-    open_, n = cut_counted(_apart(_rooted(narrow, found)))
+    every = _rooted(narrow, found)
+    open_, n = cut_counted(_apart(every))
+    drop(every)
     drop(narrow)
     if n:
         # every pair of two components has one member outside the bucket's largest component
         sizes = open_.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
         largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("largest"))
-        told = open_.join(cut(_sketches(open_.select("node").distinct(), signs)), "node")
+        sketches = cut(_sketches(open_.select("node").distinct(), signs))
+        told = open_.join(sketches, "node")
         few = told.join(largest, "key").where("root <> largest").select("key", F.col("node").alias("u"), F.col("root").alias("u_root"), F.col("sketch").alias("u_sketch"), "largest")
         every = told.select("key", F.col("node").alias("v"), F.col("root").alias("v_root"), F.col("sketch").alias("v_sketch"))
         unequal = sum((F.bit_count(F.col("u_sketch")[i].bitwiseXOR(F.col("v_sketch")[i])) for i in range(1, SKETCH)), F.bit_count(F.col("u_sketch")[0].bitwiseXOR(F.col("v_sketch")[0])))
         few, every = few.alias("few"), every.alias("every")
         meet = (F.col("few.key") == F.col("every.key")) & F.expr("u_root <> v_root and (u < v or v_root = largest)") & (unequal <= most_unequal(least))
         pairs, n = cut_counted(_fresh(few.join(every, meet).select("u", "v"), tried))
-        drop(open_)
+        drop(sketches)
+        done.append(pairs)
         if n:
-            found = _plus(found, cut(_verified(pairs, signs, texts, width, least)))
+            found = _plus(found, _verified(pairs, signs, texts, width, least))
+    done.append(open_)
+    return _without(done, found)
+
+
+def _without(done: list[DataFrame], found: DataFrame | None) -> DataFrame | None:
+    """The links, with the tables that led to them deleted."""
+    for table in done:
+        drop(table)
     return found
 
 
@@ -266,10 +288,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, candida
     null doc_id and count only as members. ``candidates`` names pairs of nodes of (node, text) to be checked first.
     """
     marked = cut(_signed(docs.select("doc_id", "text"), width))
-    named = cut(marked.groupBy("node").agg(F.min("doc_id").alias("low")))
+    rows = cut(marked.select("doc_id", "node"))
+    named = cut(rows.groupBy("node").agg(F.min("doc_id").alias("low")))
     found = links(marked, width, least, candidates(marked) if candidates else None)
     if found is None:
-        return marked.select("doc_id", "node").join(named, "node").select("doc_id", F.col("low").alias("component_id"))
+        return rows.join(named, "node").select("doc_id", F.col("low").alias("component_id"))
     named = named.join(components(found), "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    return marked.select("doc_id", "node").join(named.select("node", "root").join(low, "root"), "node").select("doc_id", "component_id")
+    return rows.join(named.select("node", "root").join(low, "root"), "node").select("doc_id", "component_id")

@@ -1,11 +1,15 @@
 import itertools
+import os
 import random
 import string
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kmerloom.llm import decontaminate, near, simhash, toxicity
+from kmerloom.plans import runtime
 from tests.llm import brute
 
 
@@ -200,3 +204,28 @@ def test_members_of_buckets_move_once(spark):
     assert sorted(tuple(r) for r in out.collect()) == [r for r in rows if r[0] in (2, 4)]
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, held = files(), spark.conf.get(runtime._CLEANUP)
+    pairs = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    out, n = runtime.cut_counted(pairs.join(spark.range(100).repartition(2, "id"), F.col("k") == F.col("id")))
+    until = time.time() + 20
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(runtime._CLEANUP) == held
+    assert n == out.count() == 100
+
+
+def test_near_dedup_deletes_what_it_has_read(spark, tmp_path, monkeypatch):
+    rnd = random.Random(23)
+    words = ["".join(rnd.choices(string.ascii_lowercase, k=6)) for _ in range(3000)]
+    rows = [(i, t, "x", "x", 1, "x", 2) for i, t in enumerate(drifted(rnd, words, 60) + drifted(rnd, words, 20))]
+    monkeypatch.setattr(runtime, "scratch_folder", lambda _: str(tmp_path))
+    out = near.near_duplicates(spark.createDataFrame(rows, ODD), candidates=simhash.met)
+    left = [spark.read.parquet(str(t)).columns for t in (tmp_path / "kmerloom-tables").iterdir()]
+    # rows, smallest ids, fingerprints, and links of pairs and of components
+    assert not [c for c in left if {"text", "sig", "keys", "key", "sketch"} & set(c)] and len(left) <= 12
+    got = sorted((r["doc_id"], r["component_id"]) for r in out.collect())
+    assert sum(a != b for a, b in zip(got, enumerate(brute.near_classes([r[:2] for r in rows])))) <= 1
