@@ -49,7 +49,11 @@ def dna(spark: SparkSession, sf_dir: str, name: str, digits: str = SEP) -> DataF
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
         df = df.repartition(cores)
-    return df.select("rec", F.translate(F.hex(text), "0123456789ABCDEF", digits).alias("seq"))
+    return df.select("rec", _letters(text, digits).alias("seq"))
+
+
+def _letters(text: str, digits: str = SEP):
+    return F.translate(F.hex(text), "0123456789ABCDEF", digits)
 
 
 def seq_sql(name: str, digits: str = SEP) -> str:
@@ -426,13 +430,16 @@ def streaming_files(spark, sf_dir):
     from kmerloom.streaming.superstring import read_stream_pieces, write_stream
 
     source, folder = scratch_path(spark), scratch_path(spark)
-    seqs = dna(spark, sf_dir, "documents")
-    low, high = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.min("doc_id"), F.max("doc_id")).first()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("rec"), "text")
+    low, high = docs.agg(F.min("rec"), F.max("rec")).first()
     third = (high - low) // 3 + 1 if high is not None else 1
     for i in range(3):
-        seqs.where(F.floor((F.col("rec") - F.lit(low)) / third) == i).write.mode("append").parquet(source)
-        stream = spark.readStream.schema("rec long, seq string").parquet(source)
-        write_stream(stream, K0, folder).awaitTermination()
+        # texts are written, half as long as their letters, and bounds rather than a quotient let the reader leave out row groups
+        first = (low or 0) + i * third
+        arrived = docs.where(F.col("rec").between(first, first + third - 1))
+        arrived.repartition(2 * spark.sparkContext.defaultParallelism).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("rec long, text string").parquet(source)
+        write_stream(stream.select("rec", _letters("text").alias("seq")), K0, folder).awaitTermination()
     return read_stream_pieces(spark, folder).select("rec", "pos", "piece")
 
 
