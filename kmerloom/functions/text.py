@@ -24,8 +24,8 @@ def infer_k(ms: Column) -> Column:
 
 
 def objective(length: Column, runs: Column) -> Column:
-    """Entropy-like size of superstring plus mask, in bits."""
-    bits = length + runs * (F.lit(1.0) + F.log2(length / runs))
+    """Entropy-like size of superstring plus mask, in bits. A superstring without runs has its length only, the limit of few runs."""
+    bits = length + F.when(runs == 0, F.lit(0.0)).otherwise(runs * (F.lit(1.0) + F.log2(length / F.nullif(runs, F.lit(0)))))
     return F.lit(2) * F.floor(bits).cast("long")
 
 

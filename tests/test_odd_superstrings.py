@@ -20,3 +20,8 @@ def test_k_of_superstrings_without_ones(spark, folder):
     got = {r.rec: r.k for r in catalog.QUERIES["get_k"](spark, folder).collect()}
     assert got == {i: None if t is None else len(cased(t)) - len(cased(t).rstrip("acgt")) + 1 for i, t in TEXTS}
     assert got[1] == 1 and got[2] == 7
+
+
+def test_objective_of_superstrings_without_runs(spark, folder):
+    got = {r.rec: r.objective for r in catalog.QUERIES["ms_objective"](spark, folder).collect()}
+    assert got[1] == 0 and got[2] == 2 * 6 and got[3] is None and got[4] > 2 * len("plain text") * 2
