@@ -54,7 +54,7 @@ def parse(argv: list[str]) -> argparse.Namespace:
     parser.add_argument("-l", action="store_true", help="print the lower bound of the length only")
     parser.add_argument("-m", action="store_true", help="accepted for global; has no effect")
     parser.add_argument("-x", "--run-penalty", type=int, help="letters a new run costs")
-    parser.add_argument("-y", "--precision", type=int, help="with csac and loac: also search walks followed by jumps; the number itself has no effect")
+    parser.add_argument("-y", "--precision", type=int, help="with csac and loac; the whole search is always made, so the number has no effect")
     options = parser.parse_args(argv[1:] if optimize else argv)
     options.optimize, options.a = optimize, OLDER.get(options.a, options.a)
     for refused, message in RULES:
@@ -76,7 +76,7 @@ def pieces(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
     if o.a == "streaming":
         return streaming_superstring(source, o.k, o.c).select(F.col("rec").alias("part"), F.col("pos").alias("rank"), "piece")
     if o.a in ("csac", "loac"):
-        return bounded.bounded(source, o.k, o.c, o.run_penalty, o.a, combined=o.precision is not None)
+        return bounded.bounded(source, o.k, o.c, o.run_penalty, o.a)
     if o.a in ("local", "localAC"):
         return superstrings.local_greedy(source, o.k, 5 if o.d is None else max(o.d, 1), o.c)
     return superstrings.global_greedy(source, o.k, o.c)
